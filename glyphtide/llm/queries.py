@@ -5,15 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, pii, sharding
+from . import minhash, mixing, pii, sharding, toxicity, urls, warc
 from .common import table
 
+#: The list of op3: all page URLs of hosts with one of these names (fixed values).
+LISTED_HOSTS = r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\."
+
 
 def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range_no", "position")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(F.rlike(urls.host_of(F.col("url")), F.lit(LISTED_HOSTS))).select("url")
+    return urls.judge_urls(pages, listed)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -22,10 +41,44 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, position('://' IN url) > 0 AS has, substr(url, position('://' IN url) + 3) AS rest FROM pages
+), split AS (
+  SELECT page_id, CASE WHEN has THEN lower(regexp_extract(rest, '^[^/?#]*')) ELSE '' END AS host,
+         CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         CASE WHEN has THEN regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) ELSE '' END AS query, coalesce(has, false) AS has FROM parts
+), canon AS (
+  SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+         CASE WHEN has THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '') || '?' ||
+           array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))), '&') END AS canon
+  FROM split
+), listed AS (
+  SELECT DISTINCT canon FROM canon WHERE canon IS NOT NULL AND regexp_matches(host, '{LISTED_HOSTS}')
+), ruled AS (
+  SELECT *, canon IS NOT NULL AND canon IN (SELECT canon FROM listed) AS listed,
+    CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+         WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM canon
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM ruled
+"""
+
+QUERIES = (op1_balanced_shards, op2_warc_index, op3_url_filter, op6_toxicity, op8_mix_sources, op9_personal_data, op10_near_duplicates)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_balanced_shards, op8_mix_sources, op9_personal_data)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}
