@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, settle, two_hashes
+from .common import pick, require, settle, two_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
@@ -296,11 +296,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     ``rep`` is the smallest doc_id with the same text, ``class_id`` the smallest in
     the class of linked texts, ``links`` the verified links of the text to other
-    texts, ``kept`` true on one row of each class. Equal texts, empty ones too, are one
-    class; a null text is a class of its own; a text without words links to no
-    other text. Repeated rows are one class, and one of them is kept. doc_id must
-    be an integer; a null one counts as smallest. An empty table gives no rows;
-    other columns are ignored.
+    texts, ``kept`` true on the row that stays for its class. Equal texts, empty ones
+    too, are one class; a null text is a class of its own; a text without words
+    links to no other text. Rows that repeat an id and its text share their
+    result. doc_id must be an integer; a null one counts as smallest. An empty
+    table gives no rows; other columns are ignored.
     """
     require(docs, "doc_id", "text")
     spark = docs.sparkSession
@@ -334,15 +334,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def _texts_of(named: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, text) of the texts that are in any bucket with others.
-
-    A filter of fixed size (a 64-bit word for each of 2**17 hash values) drops
-    most other texts before the exact join, so they aren't shuffled.
-    """
+    """(rep, text) of the texts that are in any bucket with others."""
     wanted = settle(members.select("rep").distinct().join(reps.select("rep", "h1", "h2"), "rep"), "near-wanted")
-    word, bit = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 17)).cast("int"), F.pmod(F.col("h2"), F.lit(63)).cast("int")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    bits = F.broadcast(wanted.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")))
-    likely = named.filter("text is not null").withColumn("word", word).join(bits, "word").filter(F.col("bits").bitwiseAND(mask) != 0)
-    found = likely.select("key", "h1", "h2", "text").join(wanted.withColumnRenamed("rep", "key"), ["key", "h1", "h2"], "left_semi")
+    found = pick(named.filter("text is not null").select("key", "h1", "h2", "text"), wanted, "near-wanted")
+    # Of equal texts the one with the smallest id stands for them.
+    found = found.join(wanted.withColumnRenamed("rep", "key"), ["key", "h1", "h2"], "left_semi")
     return settle(found.select(F.col("key").alias("rep"), "text"), "near-texts").dropDuplicates(["rep"])
+
+
+def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates; all columns, nothing else changed.
+
+    The row with the smallest doc_id stays; of rows that repeat it, any one.
+    """
+    found = settle(near_duplicates(docs, similarity), "near-classes")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone")).distinct()
+    again = found.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
+    gone, again = settle(gone, "near-gone"), settle(again, "near-again")
+    few = lambda df: F.broadcast(df) if df.count() <= 200_000 else df
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    # An id may also stand, with another text, on a row that stays: those rows are told apart by class.
+    both = settle(found.filter("kept").select("doc_id").join(gone, same, "left_semi").distinct(), "near-both")
+    if both.limit(1).count():
+        raise ValueError("doc_id stands for several texts, so kept rows can't be told by it")
+    kept = docs.join(few(gone), same, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    repeated = kept.join(few(again), same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(few(again), same, "left_anti").unionByName(repeated)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, pii, sharding, toxicity, urls, warc
+from . import ann, decontaminate, lines, minhash, mixing, pii, sharding, toxicity, urls, warc
 from .common import table
 
 #: The list of op3: all page URLs of hosts with one of these names (fixed values).
@@ -20,7 +20,7 @@ def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range_no", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured_at")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, listed)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks_by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -72,8 +84,59 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM ruled
 """
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to,
+  strftime(to_timestamp(1704067200 + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM d LEFT JOIN f USING (payload_digest)
+"""
 
-QUERIES = (op1_balanced_shards, op2_warc_index, op3_url_filter, op6_toxicity, op8_mix_sources, op9_personal_data, op10_near_duplicates)
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), shown AS (
+  SELECT * FROM lines WHERE regexp_matches(line, '\S')
+), firsts AS (
+  SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM shown GROUP BY line
+), halves AS (
+  SELECT DISTINCT line, first, h FROM (
+    SELECT line, first, unnest([
+      'P' || left(line, n // 2), 'S' || right(line, n - n // 2),
+      'P' || left(line, (n - 1) // 2), 'S' || right(line, n - 1 - (n - 1) // 2)]) AS h
+    FROM firsts WHERE n >= 20)
+), pairs AS (
+  SELECT DISTINCT a.line AS earlier, a.first AS keeper, b.line AS later
+  FROM halves a JOIN halves b ON a.h = b.h AND a.first < b.first AND abs(length(a.line) - length(b.line)) <= 1
+), near AS (
+  SELECT later AS line, min(keeper) AS keeper FROM pairs WHERE levenshtein(earlier, later) <= 1 GROUP BY later
+), gone AS (
+  SELECT s.doc_id, s.line_no, (s.doc_id, s.line_no) <> f.first AS exact,
+    CASE WHEN (s.doc_id, s.line_no) <> f.first THEN f.first ELSE n.keeper END AS k
+  FROM shown s JOIN firsts f USING (line) LEFT JOIN near n USING (line)
+  WHERE (s.doc_id, s.line_no) <> f.first OR n.keeper IS NOT NULL
+)
+SELECT d.doc_id, count(*) FILTER (WHERE exact) AS lines_exact, count(*) FILTER (WHERE NOT exact) AS lines_near,
+  coalesce(string_agg(line_no || '=' || k[1] || ':' || k[2], ',' ORDER BY line_no), '') AS dropped
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN gone g USING (doc_id) GROUP BY d.doc_id
+"""
+
+QUERIES = (
+    op1_balanced_shards,
+    op2_warc_index,
+    op3_url_filter,
+    op4_nearest_neighbours,
+    op5_line_dedup,
+    op6_toxicity,
+    op7_decontaminate,
+    op8_mix_sources,
+    op9_personal_data,
+    op10_near_duplicates,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -81,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op2_warc_index": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL}

@@ -175,32 +175,46 @@ def fit(labelled: DataFrame, max_features: int = MAX_FEATURES, groups: Sequence[
     return {"": float(w[-1])} | {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-6}
 
 
-def score(docs: DataFrame, weights: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
-    """One row a document: doc_id, score, predicted.
+def score_column(weights: dict[str, float]):
+    """A function that gives the score of a text column, 0 to 1.
 
     Every word of the text counts, once. Null and empty texts have the score of
-    the intercept alone. Repeated rows repeat their result; an empty table
-    gives no rows; other columns are ignored.
+    the intercept alone.
     """
-    require(docs, "doc_id", "text")
     base = weights.get("", 0.0)
     whole = {f[1:]: w for f, w in weights.items() if f.startswith("=")}
     heads = {n: {f: w for f, w in weights.items() if f and f[0] != "=" and len(f) == n} for n in PREFIXES}
     heads = {n: h for n, h in heads.items() if h}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column(1):
-                words = words_of(t.as_py())
-                z = base + sum(sorted(whole[w] for w in words & whole.keys()))
-                for n, h in heads.items():
-                    z += sum(sorted(h[f] for f in {w[:n] for w in words} & h.keys()))
-                out.append(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    def of(text: str | None) -> float:
+        words = words_of(text)
+        z = base + sum(sorted(whole[w] for w in words & whole.keys()))
+        for n, h in heads.items():
+            z += sum(sorted(h[f] for f in {w[:n] for w in words} & h.keys()))
+        return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
+
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        return pa.array([of(t.as_py()) for t in column], pa.float64())
+
+    return scored
+
+
+def score(docs: DataFrame, weights: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document: doc_id, score, predicted.
+
+    Repeated rows repeat their result; an empty table gives no rows; other
+    columns are ignored.
+    """
+    require(docs, "doc_id", "text")
+    scored = docs.select("doc_id", score_column(weights)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold; all columns, nothing else changed."""
+    verdict = score_column(fit(training_rows(docs, labels)))
+    return docs.filter(verdict(F.col("text")) < threshold)
 
 
 def held_out(doc_id):
