@@ -1,10 +1,636 @@
-"""All registered queries of the engine proper, by name, with their SQL twins."""
+"""All registered queries of the engine proper, by name, with their SQL twins.
+
+The driver's tables stand in for frame logs: event streams give timed cues,
+conversations give frames with text, embeddings give boxes, orders give tasks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import control, cues, eventlog, layout, linking, segments, tasks, tracks, vote
+from ..params import MergeParams
+from ..sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone, in any session time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+
+
+def event_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = micros("ts") / 1e6
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), start.alias("start"), (start + F.abs("value")).alias("end"), F.col("event_type").alias("text"))
+
+
+CUES = "cues AS (SELECT user_id AS stream, epoch_us(ts) / 1e6 AS start, epoch_us(ts) / 1e6 + abs(value) AS \"end\", event_type AS text FROM events)"
+SIX_HOURS = 21_600.0
+ISLANDS = f"""{CUES}, flagged AS (
+  SELECT *, CASE WHEN start - max("end") OVER w <= {SIX_HOURS} THEN 0 ELSE 1 END AS fresh FROM cues
+  WINDOW w AS (PARTITION BY stream, text ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY stream, text ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
+islands AS (SELECT stream, min(start) AS start, max("end") AS "end", text FROM runs GROUP BY stream, text, run)"""
+
+
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.merge_equal(event_cues(spark, sf_dir), SIX_HOURS)
+
+
+# --- text ---------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS key FROM documents")
+def merge_key(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.merge_key(F.col("text")).alias("key"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS text FROM documents")
+def clean_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+@query(r"SELECT * FROM (SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters FROM documents) WHERE letters > 1")
+def letter_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.letter_count(F.col("text")).alias("letters")).filter("letters > 1")
+
+
+LINES = "lines AS (SELECT doc_id, unnest(range(len(p))) AS line_no, trim(unnest(p)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
+
+
+def doc_lines(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.transform(T.text_lines(F.col("text")), T.strip)).alias("line_no", "line")).filter("line <> ''")
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM lines WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) = 1")
+def line_dedupe_exact(spark, sf_dir):
+    return vote.first_of_each(doc_lines(spark, sf_dir), ["doc_id", "line"], "line_no")
+
+
+@query()
+def line_dedupe_full(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.dedupe_lines_udf()(F.col("text")).alias("text"))
+
+
+@query(
+    rf"""WITH {LINES}, keyed AS (SELECT doc_id, line_no, regexp_replace(replace(lower(nfc_normalize(line)), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g') AS key FROM lines WHERE line <> ''),
+pairs AS (SELECT doc_id, line_no, key, lag(key) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM keyed),
+sized AS (SELECT *, CASE WHEN length(key) <= length(before) THEN key ELSE before END AS s, CASE WHEN length(key) <= length(before) THEN before ELSE key END AS l FROM pairs WHERE before IS NOT NULL)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, contains(l, s) AND (length(s) >= 6 OR starts_with(l, s) OR ends_with(l, s)) AS safe FROM sized"""
+)
+def safe_containment(spark, sf_dir):
+    keyed = doc_lines(spark, sf_dir).withColumn("key", T.merge_key(F.col("line")))
+    from pyspark.sql import Window
+
+    pairs = keyed.withColumn("before", F.lag("key").over(Window.partitionBy("doc_id").orderBy("line_no"))).filter("before is not null")
+    smaller = F.length("key") <= F.length("before")
+    s, long = F.when(smaller, F.col("key")).otherwise(F.col("before")), F.when(smaller, F.col("before")).otherwise(F.col("key"))
+    return pairs.select("doc_id", "line_no", T.is_safe_containment(s, long).alias("safe"))
+
+
+@query(
+    r"""WITH a AS (SELECT item_id, '<think>' || text || '</think> ' || '```json' || chr(10) || 'OCR:  ' || text || chr(10) || '``` tail' AS answer, text FROM benchmark)
+SELECT item_id, 'OCR:  ' || trim(text) AS model_text, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS plain_text FROM a"""
+)
+def model_answers(spark, sf_dir):
+    text = F.col("text")
+    answer = F.concat(F.lit("<think>"), text, F.lit("</think> ```json\nOCR:  "), text, F.lit("\n``` tail"))
+    rows = read(spark, sf_dir, "benchmark").select("item_id", answer.alias("answer"))
+    return rows.select("item_id", T.clean_model_text(F.col("answer")).alias("model_text"), T.clean_plain_text(F.col("answer")).alias("plain_text"))
+
+
+@query(
+    r"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '/+$', '') AS bare, url FROM pages),
+v AS (SELECT page_id, url, bare, CASE WHEN ends_with(bare, '/v1') THEN bare ELSE bare || '/v1' END AS base FROM u)
+SELECT page_id, base AS base_url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '[?#].*$', ''), '/v1$', ''), '/+$', ''), '$', '/metrics') AS metrics_url,
+  regexp_matches(lower(url), '\.(mp4|avi|mkv|mov|webm|flv|wmv|m4v)$') AS is_video FROM v"""
+)
+def service_urls(spark, sf_dir):
+    url = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", T.base_url(url).alias("base_url"), T.metrics_url(url).alias("metrics_url"), T.is_video_file(url).alias("is_video"))
+
+
+@query("SELECT s_suppkey, replace(replace(s_name, '#', '%23'), ' ', '%20') || '/a%20b' AS media_url, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 60 * 60 + 30 AS DOUBLE) ELSE 0.0 END AS seconds FROM supplier")
+def media_urls(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier")
+    clock = F.when(F.col("s_suppkey") % 2 == 0, F.format_string("%02d:30", F.col("s_suppkey") % 60)).otherwise("soon")
+    return rows.select("s_suppkey", T.media_url(F.concat("s_name", F.lit("/a b"))).alias("media_url"), T.parse_clock(clock).alias("seconds"))
+
+
+@query("""SELECT n_nationkey, n_name || '-' || n_regionkey AS answer FROM nation""")
+def response_parts(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation")
+    parts = F.to_json(F.array(F.struct(F.col("n_name").alias("text")), F.struct(F.concat(F.lit("-"), F.col("n_regionkey").cast("string")).alias("text"))))
+    return rows.select("n_nationkey", T.response_text(parts).alias("answer"))
+
+
+@query("SELECT c_custkey, [c_name, c_mktsegment] AS names FROM customer")
+def distinct_names(spark, sf_dir):
+    names = F.array(F.concat(F.lit(" "), "c_name"), F.lit(""), F.col("c_mktsegment"), F.concat("c_name", F.lit("  ")))
+    return read(spark, sf_dir, "customer").select("c_custkey", T.distinct_names(names).alias("names"))
+
+
+# --- cues -----------------------------------------------------------------------------------
+
+
+@query(f'WITH {ISLANDS} SELECT stream, start, "end", text FROM islands')
+def cue_islands(spark, sf_dir):
+    return islands(spark, sf_dir)
+
+
+NUMBERED = f"""{ISLANDS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY start, "end", text) AS "index" FROM islands WHERE "end" - start > 50.0)"""
+
+
+def numbered(spark, sf_dir):
+    return segments.number(segments.drop_short(islands(spark, sf_dir), 50.0))
+
+
+@query(f'WITH {NUMBERED} SELECT stream, start, "end", text, CAST("index" AS INTEGER) AS "index" FROM numbered')
+def cue_islands_min_duration(spark, sf_dir):
+    return numbered(spark, sf_dir)
+
+
+@query(
+    f"""WITH {NUMBERED}, d AS (SELECT stream, greatest(0.0, "end" - start) AS d FROM numbered)
+SELECT stream, count(*) AS count, round_even(sum(d), 3) AS total_sec, round_even(avg(d), 3) AS mean_sec, round_even(min(d), 3) AS min_sec, round_even(max(d), 3) AS max_sec, CAST(0 AS BIGINT) AS multi_line FROM d GROUP BY stream"""
+)
+def cue_metrics(spark, sf_dir):
+    return cues.metrics(numbered(spark, sf_dir))
+
+
+def _stamp(column: str) -> str:
+    ms = f"CAST(round_even({column} * 1000, 0) AS BIGINT)"
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+# Times of day, so that the hours stay small.
+SHOWN = f"""{NUMBERED}, shown AS (SELECT stream, "index", {_stamp("(start - 1704067200.0)")} || ' --> ' || {_stamp('("end" - 1704067200.0)')} AS times, text FROM numbered),
+blocks AS (SELECT stream, CAST("index" AS INTEGER) AS "index", "index" || chr(10) || times || chr(10) || text || chr(10) AS block FROM shown)"""
+
+
+def _relative(spark, sf_dir):
+    return numbered(spark, sf_dir).withColumn("start", F.col("start") - 1704067200.0).withColumn("end", F.col("end") - 1704067200.0)
+
+
+@query(f'WITH {SHOWN} SELECT stream, "index", block FROM blocks')
+def srt_render(spark, sf_dir):
+    return cues.srt_blocks(_relative(spark, sf_dir)).select("stream", "index", "block")
+
+
+@query(f"""WITH {SHOWN} SELECT stream, string_agg(block, chr(10) ORDER BY "index") AS srt FROM blocks GROUP BY stream""")
+def srt_files(spark, sf_dir):
+    return cues.srt_text(_relative(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ISLANDS}, points AS (SELECT DISTINCT user_id AS stream, epoch_us(ts) / 1e6 + 30.0 AS t FROM events WHERE event_type = 'click')
+SELECT p.stream, p.t, string_agg(text, chr(10) ORDER BY i.start, i."end", text) AS text FROM points p JOIN islands i ON p.stream = i.stream AND t + 0.001 >= i.start AND t <= i."end" + 0.001 GROUP BY ALL"""
+)
+def active_cues(spark, sf_dir):
+    points = read(spark, sf_dir, "events").filter("event_type = 'click'").select(F.col("user_id").alias("stream"), (micros("ts") / 1e6 + 30.0).alias("t"))
+    return cues.active_at(points, islands(spark, sf_dir), width=3600.0)
+
+
+def talk_cues(spark, sf_dir):
+    talk = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    return talk.select(F.col("conv_id").alias("stream"), (F.col("turn") * 1.0).alias("start"), (F.col("turn") + 0.8).alias("end"), "text")
+
+
+@query()
+def contained_merge(spark, sf_dir):
+    return segments.merge_contained(talk_cues(spark, sf_dir))
+
+
+@query()
+def similar_merge(spark, sf_dir):
+    return segments.merge_similar(talk_cues(spark, sf_dir), MergeParams(similar_threshold=0.6))
+
+
+@query()
+def postprocess(spark, sf_dir):
+    return segments.postprocess(talk_cues(spark, sf_dir))
+
+
+@query()
+def parameter_sweep(spark, sf_dir):
+    return segments.sweep(talk_cues(spark, sf_dir), {"default": MergeParams(), "loose": MergeParams(similar_threshold=0.6, duplicate_gap_sec=5.0)})
+
+
+# --- frame log ------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, arg_max(props, event_id) AS props FROM events GROUP BY user_id")
+def last_write_wins(spark, sf_dir):
+    return eventlog.latest(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props"), ["user_id"], "event_id")
+
+
+def log_lines(spark, sf_dir):
+    """Log lines of every kind: blank, broken, no object, no frame, null and unknown type, compacted, ocr, detector."""
+    e = read(spark, sf_dir, "events").withColumn("kind", F.col("event_id") % 12).withColumn("frame", F.col("event_id") % 50)
+    item = F.lit('[{"text":"a","quad":[[0,0],[1000,0],[1000,1000],[0,1000]]}]')
+    head = F.concat(F.lit('{"frame_number":'), F.col("frame").cast("string"), F.lit(',"time":0.5,"event":'), F.col("event_id").cast("string"))
+    blocks = F.lit('[{"normalized_bbox":[1,2,3,4],"pixel_bbox":[1,2,3,4]},{"normalized_bbox":[1,2,3]},{"normalized_bbox":["5","6","7","8"],"pixel_bbox":[5,6,7,8]}]')
+    value = (
+        F.when(F.col("kind") == 0, "").when(F.col("kind") == 1, "{broken").when(F.col("kind") == 2, "[1,2]").when(F.col("kind") == 3, '{"record_type":"ocr"}')
+        .when(F.col("kind") == 4, F.concat(head, F.lit(',"record_type":null,"spotting_items":'), item, F.lit("}")))
+        .when(F.col("kind") == 5, F.concat(head, F.lit(',"record_type":"other"}')))
+        .when(F.col("kind") == 6, F.concat(head, F.lit(',"spotting_items":'), item, F.lit("}")))
+        .when(F.col("kind") == 7, F.concat(head, F.lit(',"record_type":"detector","blocks":'), blocks, F.lit("}")))
+        .when(F.col("kind") == 8, F.concat(head, F.lit(',"record_type":"detector","detector_blocks":'), blocks, F.lit("}")))
+        .otherwise(F.concat(head, F.lit(',"record_type":"ocr","ocr_mode":"crop","ocr_area":[0,0,10,10],"spotting_items":'), item, F.lit("}")))
+    )
+    return e.select(F.col("user_id").alias("stream"), F.col("event_id").alias("line_no"), value.alias("value"))
+
+
+@query(
+    """SELECT user_id AS stream, event_id % 50 AS frame_number, max(event_id) AS line_no, 0.5 AS time, CAST(1 AS INTEGER) AS items,
+  CASE WHEN max(event_id) % 12 = 6 THEN NULL ELSE 'crop' END AS ocr_mode FROM events WHERE event_id % 12 IN (6, 9, 10, 11) GROUP BY 1, 2"""
+)
+def log_parse_tolerant(spark, sf_dir):
+    got = eventlog.recognizer_state(log_lines(spark, sf_dir))
+    return got.select("stream", "frame_number", "line_no", "time", F.size(eventlog.parse_items(F.col("spotting_items"))).alias("items"), "ocr_mode")
+
+
+@query("SELECT DISTINCT user_id AS stream, event_id % 50 AS frame_number, [[1, 2, 3, 4], [5, 6, 7, 8]] AS boxes FROM events WHERE event_id % 12 IN (7, 8)")
+def log_detector_blocks(spark, sf_dir):
+    return eventlog.detector_state(log_lines(spark, sf_dir)).select("stream", "frame_number", F.transform("blocks", lambda b: b["pixel_bbox"]).alias("boxes"))
+
+
+@query(
+    """WITH r AS (SELECT user_id AS stream, event_id % 50 AS frame_number, max(event_id) AS e FROM events WHERE event_id % 12 IN (6, 9, 10, 11) GROUP BY 1, 2)
+SELECT stream, frame_number, '{"frame_number":' || frame_number || ',"time":0.5,"spotting_items":[{"text":"a","quad":[[0,0],[1000,0],[1000,1000],[0,1000]]}]' ||
+  CASE WHEN e % 12 = 6 THEN '' ELSE ',"ocr_mode":"crop","ocr_area":[0,0,10,10]' END || '}' AS value FROM r WHERE frame_number BETWEEN 11 AND 30"""
+)
+def log_compaction(spark, sf_dir):
+    lines = log_lines(spark, sf_dir)
+    frames = lines.select("stream").distinct().join(F.broadcast(eventlog.frames_of(spark, 10, 30)))
+    return eventlog.compact(lines, frames)
+
+
+@query(
+    """SELECT doc_id, '{"record_type":"detector","frame_number":' || doc_id || ',"time":' || CAST(round_even(doc_id / 8.0, 3) AS DOUBLE) || ',"detector_blocks":[{"normalized_bbox":[0,0,1000,1000],"pixel_bbox":[0,0,' || n_chars - 1 || ',9]}]}' AS line FROM documents"""
+)
+def log_serialize(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    blocks = F.array(G.full_frame_block(F.col("n_chars"), F.lit(10)))
+    return d.select("doc_id", eventlog.detector_line(F.col("doc_id"), F.lit(8.0), blocks).alias("line"))
+
+
+def _required(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("stream"), F.col("o_orderkey").alias("frame_number"))
+
+
+def _done(spark, sf_dir):
+    done = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return read(spark, sf_dir, "orders").join(done, "o_orderkey").select((F.col("o_custkey") % 100).alias("stream"), F.col("o_orderkey").alias("frame_number"))
+
+
+DONE = "done AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45)"
+
+
+@query(f"WITH {DONE} SELECT o_custkey % 100 AS stream, o_orderkey AS frame_number FROM orders WHERE o_orderkey NOT IN (SELECT k FROM done)")
+def pending_frames(spark, sf_dir):
+    return eventlog.pending(_required(spark, sf_dir), _done(spark, sf_dir))
+
+
+@query(f"WITH {DONE} SELECT o_custkey % 100 AS stream, count(*) AS required, count(k) AS done, count(*) = count(k) AS complete FROM orders LEFT JOIN done ON k = o_orderkey GROUP BY 1")
+def frame_overlap(spark, sf_dir):
+    return eventlog.done_overlap(_required(spark, sf_dir), _done(spark, sf_dir)).withColumn("complete", F.col("required") == F.col("done"))
+
+
+@query("SELECT s_suppkey AS stream, CAST(unnest(range(s_suppkey % 7 + 1, s_suppkey % 11 + 1)) AS BIGINT) AS frame_number FROM supplier")
+def required_frames(spark, sf_dir):
+    return eventlog.required_frames(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("stream"), (F.col("s_suppkey") % 7).alias("first"), (F.col("s_suppkey") % 11).alias("last")))
+
+
+@query(
+    """WITH c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'crop' ELSE 'full_screen' END AS mode, event_id % 4 = 0 AS other_area, event_id % 5 = 0 AS no_mask FROM events)
+SELECT event_id, CASE WHEN mode IS NULL THEN true ELSE mode = 'full_screen' AND NOT other_area AND NOT no_mask END AS compatible, mode IS NULL OR mode = 'full_screen' AS full_screen FROM c"""
+)
+def context_compat(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id")
+    mode = F.when(F.col("event_id") % 3 == 1, "crop").when(F.col("event_id") % 3 == 2, "full_screen")
+    area = F.when(F.col("event_id") % 4 == 0, F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))).otherwise(F.array(*[F.lit(0)] * 4))
+    mask = F.when(F.col("event_id") % 5 != 0, F.array(*[F.lit(9)] * 4))
+    rows = e.withColumn("mode", mode).withColumn("area", area).withColumn("mask", mask)
+    fits = eventlog.compatible(F.col("mode"), F.col("area"), F.col("mask"), F.lit("full_screen"), F.array(*[F.lit(0)] * 4), F.array(*[F.lit(9)] * 4))
+    return rows.select("event_id", fits.alias("compatible"), eventlog.is_full_screen(F.col("mode")).alias("full_screen"))
+
+
+@query("SELECT l_orderkey AS stream, l_linenumber AS frame_number, CAST(sum(CAST(l_quantity AS BIGINT) % 3 + 1) - max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS remaining FROM lineitem GROUP BY 1, 2")
+def frame_countdown(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").alias("frame_number"), "l_quantity", "l_returnflag")
+    blocks = li.select("stream", "frame_number", F.explode(F.sequence(F.lit(0), (F.col("l_quantity").cast("bigint") % 3).cast("int"))).alias("block_index"))
+    return eventlog.frame_countdown(blocks, li.filter("l_returnflag = 'R'").select("stream", "frame_number", F.lit(0).alias("block_index")))
+
+
+# --- votes and reading order ------------------------------------------------------------------
+
+
+VOTED = """v AS (SELECT user_id AS g, CASE event_id % 5 WHEN 0 THEN event_type || '!' WHEN 1 THEN upper(event_type) WHEN 2 THEN event_type || ' again' ELSE event_type END AS text, event_id FROM events)"""
+
+
+@query(
+    rf"""WITH {VOTED}, shown AS (SELECT g, text, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS key, count(*) AS n, min(event_id) AS seen FROM v GROUP BY ALL),
+keys AS (SELECT g, key, sum(n) AS n, min(seen) AS seen FROM shown GROUP BY ALL),
+best AS (SELECT * FROM keys QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, length(key) DESC, seen) = 1),
+chosen AS (SELECT k.g, k.key FROM keys k JOIN best b ON k.g = b.g AND contains(k.key, b.key) WHERE k.key = b.key OR k.n >= greatest(2, 0.35 * b.n)
+  QUALIFY row_number() OVER (PARTITION BY k.g ORDER BY length(k.key) DESC, k.n DESC, k.seen) = 1)
+SELECT s.g AS "group", s.text FROM shown s JOIN chosen c ON s.g = c.g AND s.key = c.key QUALIFY row_number() OVER (PARTITION BY s.g ORDER BY s.n DESC, s.seen) = 1"""
+)
+def vote_representative(spark, sf_dir):
+    e = F.col("event_id") % 5
+    text = F.when(e == 0, F.concat("event_type", F.lit("!"))).when(e == 1, F.upper("event_type")).when(e == 2, F.concat("event_type", F.lit(" again"))).otherwise(F.col("event_type"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("group"), text.alias("text"), F.col("event_id").alias("ord"))
+    return vote.representative(vote.votes(rows))
+
+
+BOXES = """raw AS (SELECT vec_id, label, [CAST(floor((embedding[k] + 1) * 500) AS INTEGER) FOR k IN [1, 2, 3, 4]] AS e FROM embeddings),
+boxes AS (SELECT vec_id, label, least(e[1], e[3]) AS x1, least(e[2], e[4]) AS y1, greatest(e[1], e[3]) AS x2, greatest(e[2], e[4]) AS y2 FROM raw)"""
+
+
+def boxes(spark, sf_dir):
+    e = [F.floor((F.col("embedding")[k].cast("float") + F.lit(1).cast("float")) * F.lit(500).cast("float")).cast("int") for k in range(4)]
+    box = F.array(F.least(e[0], e[2]), F.least(e[1], e[3]), F.greatest(e[0], e[2]), F.greatest(e[1], e[3]))
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", box.alias("box"))
+
+
+@query(
+    f"""WITH {BOXES}, f AS (SELECT label AS stream, vec_id // 40 AS frame, vec_id AS det_index, * FROM boxes), d AS (SELECT stream, frame, sum(x2 - x1) >= sum(y2 - y1) AS across FROM f GROUP BY ALL)
+SELECT f.stream, f.frame, string_agg('t' || vec_id, chr(10) ORDER BY CASE WHEN across THEN (y1 + y2) / 2.0 ELSE -(x1 + x2) / 2.0 END, CASE WHEN across THEN (x1 + x2) / 2.0 ELSE (y1 + y2) / 2.0 END, det_index) AS text FROM f JOIN d USING (stream, frame) GROUP BY ALL"""
+)
+def reading_order(spark, sf_dir):
+    rows = boxes(spark, sf_dir).select(F.col("label").alias("stream"), F.floor(F.col("vec_id") / 40).alias("frame"), F.lit(1).alias("track_id"), F.col("vec_id").alias("det_index"), "box", F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("text"))
+    return tracks.frame_texts(rows).select("stream", "frame", "text")
+
+
+# --- geometry -----------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {BOXES}, p AS (SELECT a.vec_id, a.x1 AS a1, a.y1 AS a2, a.x2 AS a3, a.y2 AS a4, b.x1 AS b1, b.y1 AS b2, b.x2 AS b3, b.y2 AS b4 FROM boxes a JOIN boxes b ON b.vec_id = a.vec_id + 1),
+i AS (SELECT vec_id, greatest(0.0, least(a3, b3) - greatest(a1, b1)) * greatest(0.0, least(a4, b4) - greatest(a2, b2)) AS inter, (a3 - a1) * (a4 - a2) + (b3 - b1) * (b4 - b2) AS areas FROM p)
+SELECT vec_id, CASE WHEN areas - inter > 0 THEN inter / (areas - inter) ELSE 0.0 END AS iou FROM (SELECT vec_id, CAST(inter AS DOUBLE) AS inter, CAST(areas AS DOUBLE) AS areas FROM i)"""
+)
+def box_iou_pairs(spark, sf_dir):
+    b = boxes(spark, sf_dir).select("vec_id", F.col("box").cast("array<double>").alias("box"))
+    return b.alias("a").join(b.select((F.col("vec_id") - 1).alias("vec_id"), F.col("box").alias("other")), "vec_id").select("vec_id", G.iou(F.col("box"), F.col("other")).alias("iou"))
+
+
+RESTORED = ", ".join(f"CAST(greatest(0, least(round_even(CASE WHEN vec_id % 3 = 2 THEN {c} + 1001.0 ELSE {c} / 1000.0 * {n} END, 0), {n})) AS INTEGER)" for c, n in (("x1", 1919), ("y1", 1079), ("x2", 1919), ("y2", 1079)))
+NORMAL = ", ".join(f"CASE WHEN vec_id % 3 = 1 THEN {c} ELSE CAST(greatest(0, least(round_even(CAST(p[{k}] AS DOUBLE) / {n} * 1000.0, 0), 1000)) AS INTEGER) END" for k, c, n in ((1, "x1", 1919), (2, "y1", 1079), (3, "x2", 1919), (4, "y2", 1079)))
+
+
+@query(
+    f"""WITH {BOXES}, px AS (SELECT *, [{RESTORED}] AS p FROM boxes)
+SELECT vec_id, ['unit', 'normalized_1000', 'identity'][vec_id % 3 + 1] AS mode, CASE WHEN p[3] > p[1] AND p[4] > p[2] THEN [{NORMAL}] END AS normalized_bbox, CASE WHEN p[3] > p[1] AND p[4] > p[2] THEN p END AS pixel_bbox FROM px"""
+)
+def coord_restore(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    kind = F.col("vec_id") % 3
+    given = F.transform(F.col("box").cast("array<double>"), lambda v: F.when(kind == 0, v / 1000.0).when(kind == 1, v).otherwise(v + 1001.0))
+    rows = b.select("vec_id", given.alias("g"))
+    return rows.select("vec_id", G.coordinate_mode(F.col("g")).alias("mode"), G.text_block(F.col("g"), F.lit(1920), F.lit(1080)).alias("b")).select("vec_id", "mode", "b.normalized_bbox", "b.pixel_bbox")
+
+
+def _clamped(value: str, high: str) -> str:
+    return f"CAST(greatest(0, least({value}, {high})) AS INTEGER)"
+
+
+@query(
+    f"""WITH {BOXES}, q AS (SELECT *, CAST(round_even(greatest(8.0, greatest(x2 - x1, y2 - y1) * 0.04), 0) AS INTEGER) AS pad, (vec_id * 2654435761) % 4294967296 AS h FROM boxes)
+SELECT vec_id, CASE WHEN x2 > x1 AND y2 > y1 THEN [{_clamped("x1 - pad", "1000")}, {_clamped("y1 - pad", "1000")}, {_clamped("x2 + pad + 1", "1000")}, {_clamped("y2 + pad + 1", "1000")}] END AS padded,
+  [CAST(round_even(x1 / 1000.0 * 639, 0) AS INTEGER), CAST(round_even(y1 / 1000.0 * 479, 0) AS INTEGER), CAST(round_even(x2 / 1000.0 * 639, 0) AS INTEGER), CAST(round_even(y2 / 1000.0 * 479, 0) AS INTEGER)] AS scaled,
+  [CAST(64 + h % 128 AS INTEGER), CAST(64 + h // 256 % 128 AS INTEGER), CAST(64 + h // 65536 % 128 AS INTEGER)] AS color,
+  x1 <= 5 AND y1 <= 5 AND x2 >= 995 AND y2 >= 995 AS full_frame FROM q"""
+)
+def box_crops(spark, sf_dir):
+    b, size = F.col("box"), F.lit(1000)
+    return boxes(spark, sf_dir).select("vec_id", G.padded_crop(b, size, size).alias("padded"), G.scaled_box(b, F.lit(640), F.lit(480)).alias("scaled"), G.track_color(F.col("vec_id")).alias("color"), G.is_full_frame(b).alias("full_frame"))
+
+
+@query(f"WITH {BOXES} SELECT vec_id, [x1, y1, x2, y2] AS box, [(x1 + x2) / 2.0, (y1 + y2) / 2.0] AS center FROM boxes")
+def quad_round_trip(spark, sf_dir):
+    quad = G.box_quad(F.col("box"))
+    return boxes(spark, sf_dir).select("vec_id", G.quad_box(quad).alias("box"), G.quad_center(quad).alias("center"))
+
+
+# --- tracks -----------------------------------------------------------------------------------------
+
+
+TRACKS = f"""{ISLANDS}, tracks AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY start, "end", text) AS track_id, CAST(floor(start / 600) AS BIGINT) AS first_frame, start / 3600 AS first_time, CAST(floor("end" / 600) AS BIGINT) AS last_frame FROM islands),
+pairs AS (SELECT a.stream, a.track_id AS a, b.track_id AS b FROM tracks a JOIN tracks b ON a.stream = b.stream AND a.track_id < b.track_id AND abs(a.last_frame - b.last_frame) <= 6 AND abs(a.first_time - b.first_time) <= 2.0)"""
+
+
+def track_extents(spark, sf_dir):
+    n = segments.number(islands(spark, sf_dir))
+    return n.select("stream", F.col("index").cast("bigint").alias("track_id"), F.floor(F.col("start") / 600).alias("first_frame"), (F.col("start") / 3600).alias("first_time"), F.floor(F.col("end") / 600).alias("last_frame"))
+
+
+@query(f"WITH {TRACKS} SELECT stream, a, b FROM pairs")
+def band_join_pairs(spark, sf_dir):
+    return linking.band_pairs(track_extents(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {TRACKS}, edges AS (SELECT stream, a, b FROM pairs UNION SELECT stream, b, a FROM pairs),
+reach AS (SELECT stream, track_id AS t, track_id AS r FROM tracks UNION SELECT reach.stream, reach.t, e.b FROM reach JOIN edges e ON e.stream = reach.stream AND e.a = reach.r)
+SELECT reach.stream, t AS track_id, arg_min(r, (x.first_frame, r)) AS root FROM reach JOIN tracks x ON x.stream = reach.stream AND x.track_id = r GROUP BY ALL"""
+)
+def linked_components(spark, sf_dir):
+    found = track_extents(spark, sf_dir)
+    return linking.components(found, linking.band_pairs(found))
+
+
+TALK = """talk AS (SELECT conv_id AS stream, turn AS ord, turn * CASE WHEN conv_id % 5 = 0 THEN 7 ELSE 1 END + 1 AS frame, CASE WHEN turn % 7 = 6 THEN NULL WHEN turn % 2 = 0 THEN 'Head ' || conv_id % 3 ELSE split_part(min(text), ' ', 1) END AS text, CASE WHEN turn % 5 = 3 THEN 'truncated' ELSE 'ok' END AS status FROM conversations GROUP BY conv_id, turn)"""
+
+
+def talk_frames(spark, sf_dir):
+    talk = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    frame = F.col("turn") * F.when(F.col("conv_id") % 5 == 0, 7).otherwise(1) + 1
+    text = F.when(F.col("turn") % 7 == 6, None).when(F.col("turn") % 2 == 0, F.concat(F.lit("Head "), (F.col("conv_id") % 3).cast("string"))).otherwise(F.split_part("text", F.lit(" "), F.lit(1)))
+    return talk.select(F.col("conv_id").alias("stream"), F.col("turn").alias("ord"), frame.alias("frame"), text.alias("text"), F.when(F.col("turn") % 5 == 3, "truncated").otherwise("ok").alias("status"))
+
+
+@query(
+    rf"""WITH {TALK}, k AS (SELECT *, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]', '', 'g') AS key FROM talk),
+r AS (SELECT *, text IS NULL OR (status = 'ok' AND key = '') AS reset, coalesce(frame - lag(frame) OVER (PARTITION BY stream ORDER BY ord) > 6, false) AS gap FROM k),
+g AS (SELECT *, NOT reset AND status = 'ok' AS valid, sum(CAST(reset AS INTEGER)) OVER (PARTITION BY stream ORDER BY ord) AS run FROM r),
+l AS (SELECT *, last_value(CASE WHEN valid THEN key END IGNORE NULLS) OVER (PARTITION BY stream, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
+n AS (SELECT *, valid AND (before IS NULL OR gap OR key <> before) AS fresh FROM l),
+i AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY stream ORDER BY ord) AS id FROM n)
+SELECT stream, ord, frame, text, status, CASE WHEN valid OR (NOT reset AND before IS NOT NULL AND NOT gap) THEN CAST(id AS BIGINT) END AS track_id FROM i"""
+)
+def crop_tracks(spark, sf_dir):
+    return tracks.crop_tracks(talk_frames(spark, sf_dir), same=lambda a, b: F.lit(0.0))
+
+
+@query()
+def crop_tracks_fuzzy(spark, sf_dir):
+    return tracks.crop_tracks(talk_frames(spark, sf_dir))
+
+
+@query()
+def fuzzy_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    talk = talk_cues(spark, sf_dir).withColumn("key", T.merge_key(F.col("text")))
+    pairs = talk.withColumn("before", F.lag("key").over(Window.partitionBy("stream").orderBy("start"))).filter("before is not null")
+    return pairs.select("stream", "start", T.similarity(F.col("key"), F.col("before")).alias("ratio"))
+
+
+@query()
+def full_tracks(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    rows = b.select(F.col("label").alias("stream"), F.floor(F.col("vec_id") / 40).alias("frame"), (F.col("vec_id") % 40).cast("int").alias("det_index"), "box", F.concat(F.lit("t"), (F.col("vec_id") % 7).cast("string")).alias("key"))
+    return tracks.full_tracks(rows)
+
+
+@query()
+def captions(spark, sf_dir):
+    from .captions import captions as made
+
+    talk = talk_frames(spark, sf_dir).crossJoin(F.broadcast(spark.range(4).withColumnRenamed("id", "rep")))
+    quad = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0, 0), (1000, 0), (1000, 1000), (0, 1000))])
+    items = F.when(F.col("text").isNull(), F.array().cast(f"array<{eventlog.ITEM}>")).otherwise(F.array(F.struct(F.col("text"), quad.alias("quad"), F.col("status").alias("text_status"))))
+    frame = F.col("ord") * 4 + F.col("rep")
+    return made(talk.select("stream", frame.alias("line_no"), frame.alias("frame_number"), (frame / 4.0).alias("time"), items.alias("spotting_items"), F.lit("crop").alias("ocr_mode")))
+
+
+# --- layout -----------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {BOXES} SELECT vec_id AS id, CAST(0 AS INTEGER) AS pos, [x1, y1, x2, y2] AS normalized_bbox,
+  [CAST(round_even(x1 / 1000.0 * 1000, 0) AS INTEGER), CAST(round_even(y1 / 1000.0 * 500, 0) AS INTEGER), CAST(round_even(x2 / 1000.0 * 1000, 0) AS INTEGER), CAST(round_even(y2 / 1000.0 * 500, 0) AS INTEGER)] AS pixel_bbox
+FROM boxes WHERE round_even(x2 / 1000.0 * 1000, 0) > round_even(x1 / 1000.0 * 1000, 0) AND round_even(y2 / 1000.0 * 500, 0) > round_even(y1 / 1000.0 * 500, 0)"""
+)
+def layout_json(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    box = F.array_join(F.col("box").cast("array<string>"), " ")
+    fine = F.concat(F.lit('[{"label": "Section-Header", "bbox": "'), box, F.lit('", "count": 1}, {"label": "Picture", "bbox": "1 2 3 4"}, {"label": "Text", "bbox": "'), box, F.lit('"}, {"label": "Text", "bbox": [0, 0, 1000, 1000]}]'))
+    cut = F.concat(F.lit('[{"label": "Text", "bbox": "'), box, F.lit('"}, {"label": "Text", "bb'))
+    content = F.when(F.col("vec_id") % 2 == 0, fine).otherwise(cut)
+    return layout.parse_layout(b.select(F.col("vec_id").alias("id"), content.alias("content"), F.lit(1001).alias("width"), F.lit(501).alias("height")))
+
+
+@query()
+def layout_html(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    head = F.concat(F.lit('<div data-label="Text" data-bbox="10 '), (F.col("page_id") % 500).cast("string"), F.lit(' 900 990">'))
+    return layout.parse_layout(pages.select(F.col("page_id").alias("id"), F.concat(head, F.coalesce("html", F.lit("")), F.lit("</div>")).alias("content"), F.lit(2000).alias("width"), F.lit(1000).alias("height")))
+
+
+# --- control and queue --------------------------------------------------------------------------------
+
+
+@query("SELECT user_id AS scrape_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS INTEGER) AS running, CAST(count(*) FILTER (WHERE event_type = 'view') AS INTEGER) AS waiting FROM events GROUP BY 1")
+def metrics_text(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scrape_id")).agg(F.count_if(F.col("event_type") == "click").alias("c"), F.count_if(F.col("event_type") == "view").alias("v"))
+    line = lambda name, n: F.format_string(f'{name}{{engine="%d"}} %d.0', F.col("scrape_id"), n)
+    text = F.concat_ws("\n", F.lit("# HELP x"), line("vllm:num_requests_running", F.col("c") - 1), line("vllm:num_requests_running", F.lit(1)), line("vllm_num_requests_running", F.lit(999)), line(" vllm_num_requests_waiting", F.col("v")))
+    return control.required(control.load_metrics(e.select("scrape_id", text.alias("payload"))))
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 7 AS INTEGER) END AS waiting FROM events),
+f AS (SELECT stream, CAST(0 AS BIGINT) AS seq, CAST(NULL AS INTEGER) AS waiting, 16 AS lim FROM (SELECT DISTINCT stream FROM s)
+  UNION ALL SELECT s.stream, s.seq, s.waiting, CASE WHEN s.waiting IS NULL THEN 16 WHEN s.waiting < 2 THEN least(64, f.lim + 2 - s.waiting) WHEN s.waiting > 2 THEN greatest(1, f.lim - (s.waiting - 2)) ELSE f.lim END FROM f JOIN s ON s.stream = f.stream AND s.seq = f.seq + 1)
+SELECT stream, CAST(seq AS INTEGER) AS seq, waiting, lim AS "limit" FROM f WHERE seq > 0"""
+)
+def aimd_limit(spark, sf_dir):
+    from pyspark.sql import Window
+
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), seq.alias("seq"), F.when(F.col("event_id") % 11 != 0, (F.col("event_id") % 7).cast("int")).alias("waiting"))
+    return control.limit_series(rows)
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS task_id, CAST(o_orderkey % 101 AS DOUBLE) AS progress, CAST(o_orderkey % 5000 AS DOUBLE) AS elapsed FROM orders),
+e AS (SELECT *, CAST(floor(elapsed * (100 - progress) / CASE WHEN progress > 0 THEN progress END) AS BIGINT) % 86400 AS r FROM p)
+SELECT task_id, CASE WHEN progress <= 0 THEN 'TBD' WHEN progress = 100 THEN '00:00:00' ELSE printf('%02d:%02d:%02d', r // 3600, r // 60 % 60, r % 60) END AS time_left, round_even(least(99.0, 50.0 + progress / greatest(1, 100) * 50.0), 2) AS phase FROM e"""
+)
+def progress_eta(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderkey") % 101).cast("double").alias("progress"), (F.col("o_orderkey") % 5000).cast("double").alias("elapsed"))
+    return rows.select("task_id", G.time_left(F.col("progress"), F.col("elapsed")).alias("time_left"), G.phase_progress(F.col("progress"), F.lit(100), 50.0, 100.0, 99.0).alias("phase"))
+
+
+STATUS = "CASE o_orderstatus WHEN 'O' THEN 'waiting' WHEN 'F' THEN 'completed' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'running' ELSE 'stopping' END END"
+TASKS = f"tasks AS (SELECT o_orderkey AS task_id, epoch_us(o_orderdate) AS seq, o_custkey % 500 AS queue, o_custkey AS video, {STATUS} AS status FROM orders)"
+
+
+def queue(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "waiting").when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderkey") % 2 == 0, "running").otherwise("stopping")
+    return o.select(F.col("o_orderkey").alias("task_id"), micros("o_orderdate").alias("seq"), (F.col("o_custkey") % 500).alias("queue"), F.col("o_custkey").alias("video"), status.alias("status"))
+
+
+@query(f"WITH {TASKS} SELECT queue, arg_min(task_id, (seq, task_id)) FILTER (WHERE status = 'waiting') AS task_id FROM tasks GROUP BY queue HAVING NOT bool_or(status = 'running') AND count(*) FILTER (WHERE status = 'waiting') > 0")
+def task_queue_next(spark, sf_dir):
+    return tasks.next_task(queue(spark, sf_dir), ("queue",))
+
+
+@query(f"WITH {TASKS} SELECT video, arg_min(task_id, (seq, task_id)) AS task_id FROM tasks WHERE status IN ('waiting', 'running', 'stopping') GROUP BY video")
+def task_duplicates(spark, sf_dir):
+    return tasks.duplicate_of(queue(spark, sf_dir))
+
+
+@query(
+    f"""WITH {TASKS}, a AS (SELECT *, CASE WHEN task_id % 3 = 0 THEN 'stop' WHEN task_id % 3 = 1 THEN 'resume' END AS action FROM tasks)
+SELECT task_id, CASE WHEN action = 'stop' AND status = 'waiting' THEN 'stopped' WHEN action = 'stop' AND status = 'running' THEN 'stopping' ELSE status END AS status,
+  CASE WHEN action IS NOT NULL THEN action = 'stop' AND status IN ('waiting', 'running') END AS accepted FROM a"""
+)
+def task_transitions(spark, sf_dir):
+    t = queue(spark, sf_dir)
+    actions = t.select("task_id", F.when(F.col("task_id") % 3 == 0, "stop").when(F.col("task_id") % 3 == 1, "resume").alias("action")).filter("action is not null")
+    return tasks.apply_actions(t.select("task_id", "status"), actions)
+
+
+@query(f"WITH {TASKS} SELECT task_id, CASE WHEN status = 'completed' THEN status ELSE 'stopped' END AS status FROM tasks")
+def task_restore(spark, sf_dir):
+    return tasks.restored(queue(spark, sf_dir).select("task_id", "status"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size > 40 THEN 'crop_outside' WHEN p_partkey % 5 = 0 THEN 'start_after_end' WHEN p_partkey % 7 = 0 THEN 'end_before_start'
+  WHEN p_partkey % 3 = 0 THEN 'mask_incomplete' END AS error FROM part"""
+)
+def request_errors(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    c = F.col
+    rows = p.select(
+        "p_partkey", (c("p_size") % 2 == 1).alias("full_screen"), F.lit(0).alias("x"), F.lit(0).alias("y"), c("p_size").alias("width"), F.lit(10).alias("height"), F.lit(40).alias("frame_width"), F.lit(40).alias("frame_height"),
+        F.when(c("p_partkey") % 5 == 0, 9.0).otherwise(2.0).alias("start_time"), F.when(c("p_partkey") % 7 == 0, 1.0).alias("end_time"), F.lit(9.0).alias("duration"),
+        F.when(c("p_partkey") % 3 == 0, 1).alias("mask_x"), *[F.lit(None).cast("int").alias(f"mask_{k}") for k in ("y", "width", "height")],
+    )
+    return tasks.request_errors(rows).select("p_partkey", "error")
+
+
+@query("WITH f AS (SELECT 'v' || o_custkey AS stem, CASE WHEN o_orderkey % 3 = 0 THEN 'v' || o_custkey || '.srt' ELSE 'v' || o_custkey || '.en.srt' END AS path, epoch_us(o_orderdate) AS modified FROM orders) SELECT stem, arg_max(path, (modified, path)) AS path FROM f GROUP BY stem")
+def newest_result(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    stem = F.concat(F.lit("v"), F.col("o_custkey").cast("string"))
+    return logs.newest(o.select(F.concat(stem, F.when(F.col("o_orderkey") % 3 == 0, ".srt").otherwise(".en.srt")).alias("path"), micros("o_orderdate").alias("modified")))
