@@ -67,22 +67,32 @@ def two_hashes(text: Column, row_key: Column) -> tuple[Column, Column]:
     return F.xxhash64(tag, known), F.xxhash64(F.lit(7), known, tag)
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like ``stems`` that ``df`` doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
-def pick(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """Rows of ``rows`` whose (h1, h2) is in ``wanted``, exactly; both have these columns.
+def pick(rows: DataFrame, wanted: DataFrame, name: str, on: tuple[str, ...] = ("h1", "h2")) -> DataFrame:
+    """Rows of ``rows`` whose ``on`` is in ``wanted``, exactly; both have h1 and h2.
 
     A filter of fixed size (a 64-bit word for each of 2**17 hash values, at most
     some 3 MB) drops most others before the exact join, so large texts that
     nobody asks for aren't shuffled.
     """
-    wanted = settle(wanted.select("h1", "h2").distinct(), name)
+    wanted = settle(wanted.select(*on).distinct(), name)
     word, bit = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 17)).cast("int"), F.pmod(F.col("h2"), F.lit(63)).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     bits = F.broadcast(wanted.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")))
     likely = rows.withColumn("_word", word).join(bits, "_word").filter(F.col("_bits").bitwiseAND(mask) != 0)
-    return likely.drop("_word", "_bits").join(wanted, ["h1", "h2"], "left_semi")
+    return likely.drop("_word", "_bits").join(wanted.hint("merge"), list(on), "left_semi")

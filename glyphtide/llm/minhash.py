@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, require, settle, two_hashes
+from .common import free_names, pick, require, settle, two_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 9, 3
@@ -241,7 +241,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, bands:
     """The pairs whose texts are similar enough."""
     first = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(first, "a").join(second, "b")
+    both = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(idf.value, bands, rows)
@@ -335,11 +335,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 def _texts_of(named: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, text) of the texts that are in any bucket with others."""
-    wanted = settle(members.select("rep").distinct().join(reps.select("rep", "h1", "h2"), "rep"), "near-wanted")
-    found = pick(named.filter("text is not null").select("key", "h1", "h2", "text"), wanted, "near-wanted")
+    wanted = members.select("rep").distinct().join(reps.select("rep", "h1", "h2"), "rep")
     # Of equal texts the one with the smallest id stands for them.
-    found = found.join(wanted.withColumnRenamed("rep", "key"), ["key", "h1", "h2"], "left_semi")
-    return settle(found.select(F.col("key").alias("rep"), "text"), "near-texts").dropDuplicates(["rep"])
+    wanted = wanted.withColumnRenamed("rep", "key")
+    found = pick(named.filter("text is not null").select("key", "h1", "h2", "text"), wanted, "near-wanted", ("key", "h1", "h2"))
+    return settle(found.dropDuplicates(["key", "h1", "h2"]).select(F.col("key").alias("rep"), "text"), "near-texts")
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -347,16 +347,16 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
 
     The row with the smallest doc_id stays; of rows that repeat it, any one.
     """
-    found = settle(near_duplicates(docs, similarity), "near-classes")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone")).distinct()
-    again = found.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
-    gone, again = settle(gone, "near-gone"), settle(again, "near-again")
-    few = lambda df: F.broadcast(df) if df.count() <= 200_000 else df
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    # An id may also stand, with another text, on a row that stays: those rows are told apart by class.
-    both = settle(found.filter("kept").select("doc_id").join(gone, same, "left_semi").distinct(), "near-both")
+    (own,) = free_names(docs, "near_id")
+    found = settle(near_duplicates(docs, similarity), "near-classes").withColumnRenamed("doc_id", own)
+    gone = settle(found.filter("not kept").select(own).distinct(), "near-gone")
+    again = settle(found.filter("kept").groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own), "near-again")
+    # An id that also stands for a text that stays can't tell its rows apart.
+    both = found.filter("kept").select(F.col(own).alias("kept_id")).join(gone, F.col("kept_id").eqNullSafe(F.col(own)), "left_semi")
     if both.limit(1).count():
-        raise ValueError("doc_id stands for several texts, so kept rows can't be told by it")
+        raise ValueError("a doc_id stands for several texts; near duplicates are told by it")
+    few = lambda df: F.broadcast(df) if df.count() <= 200_000 else df
+    same = F.col("doc_id").eqNullSafe(F.col(own))
     kept = docs.join(few(gone), same, "left_anti")
     if not again.limit(1).count():
         return kept
