@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, settle, two_hashes
+from .common import free_names, require, settle, two_hashes
 
 WINDOW = 8
 #: Matching windows that make a passage, where the item has as many: twelve words in a row.
@@ -144,9 +144,10 @@ def leaks_by_document(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text leaks no item; all columns, nothing else changed."""
-    texts = settle(find_leaks(docs, benchmark).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), "leaks")
+    one, two = free_names(docs, "leak_h1", "leak_h2")
+    texts = settle(find_leaks(docs, benchmark).select(F.col("h1").alias(one), F.col("h2").alias(two)).distinct(), "leaks")
     h1, h2 = two_hashes(F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    return docs.join(_checked(texts), (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left_anti")
+    return docs.join(_checked(texts), (h1 == F.col(one)) & (h2 == F.col(two)), "left_anti")
 
 
 def _checked(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, require, settle, two_hashes
+from .common import free_names, pick, require, settle, two_hashes
 
 #: Shorter lines are compared for equality alone.
 LEAST_CHARS = 20
@@ -137,8 +137,9 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def dedup_text(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the duplicate lines taken out of ``text``; doc_id is a key here."""
-    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: ~F.array_contains("_gone", x["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept["line"], "\n"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own, numbers = free_names(docs, "line_doc", "line_numbers")
+    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(numbers))
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: ~F.array_contains(numbers, x["i"]))
+    text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept["line"], "\n"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)), "left")
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

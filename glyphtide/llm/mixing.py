@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, settle
+from .common import free_names, require, settle
 
 #: A word is a maximal run of bytes outside blank and the five ASCII controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -139,6 +139,8 @@ def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     ``doc_id`` is taken as a key here; a repeated or null id stays once a row
     that the mix holds for it at its largest count.
     """
-    copies = mixed.groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).cast("int").alias("_copies"))
-    picked = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_copies > 0")
-    return picked.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    own, copies, each = free_names(docs, "mix_id", "mix_copies", "mix_copy")
+    times = F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).cast("int")
+    counted = mixed.groupBy(F.col("doc_id").alias(own)).agg(times.alias(copies)).filter(F.col(copies) > 0)
+    picked = docs.join(counted, F.col("doc_id").eqNullSafe(F.col(own)))
+    return picked.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(each)).drop(each)

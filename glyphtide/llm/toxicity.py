@@ -26,7 +26,7 @@ SAMPLE_ROWS, MAX_FEATURES = 20_000, 6_000
 LEAST_Z, LEAST_DOCS = 4.0, 3
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
-L2, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 300
+L2, COUNTERFACTUAL, STEPS = 2e-4, 5.0, 300
 
 #: Terms that may stand for each other in a counterfactual, by group (fixed values).
 IDENTITY_GROUPS = (
@@ -102,14 +102,14 @@ def train(rows: Sequence[Sequence[int]], labels: Sequence[int], swaps: Sequence[
     for t in range(1, steps + 1):
         z = np.bincount(row, w[col], minlength=len(rows)) + w[-1]
         g_row = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.bincount(col, g_row[row], minlength=n_features + 1)
+        g = np.bincount(col, g_row[row], minlength=n_features + 1).astype(np.float64)
         g[-1] = g_row.sum()
         if len(swaps):
             change = np.bincount(s_row, signs * w[s_col], minlength=len(swaps))
             g += 2 * counterfactual / len(swaps) * np.bincount(s_col, signs * change[s_row], minlength=n_features + 1)
         g[:-1] += 2 * l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (1 - 0.5 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
