@@ -77,7 +77,7 @@ def is_safe_containment(short: Column, long: Column, free_length: int = 6) -> Co
 
 def text_lines(text: Column) -> Column:
     """Array of lines, without the empty one behind a last line end."""
-    parts = F.split(F.regexp_replace(text, f"(?:{LINE_END})$", ""), LINE_END)
+    parts = F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(parts)
 
 

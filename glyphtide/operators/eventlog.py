@@ -21,7 +21,7 @@ def whole(value: Column) -> Column:
 
 def parse_blocks(blocks: Column) -> Column:
     """Detector blocks of a JSON text; items without two boxes of four whole numbers are dropped."""
-    raw = F.from_json(blocks, "array<struct<normalized_bbox:array<string>,pixel_bbox:array<string>>>")
+    raw = F.transform(F.from_json(blocks, "array<string>"), lambda b: F.from_json(b, "struct<normalized_bbox:array<string>,pixel_bbox:array<string>>"))
     numbers = lambda box: F.transform(box, lambda v: v.try_cast("double").try_cast("int"))
     rows = F.transform(raw, lambda b: F.struct(numbers(b["normalized_bbox"]).alias("normalized_bbox"), numbers(b["pixel_bbox"]).alias("pixel_bbox")))
     fine = lambda box: F.coalesce((F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull()), F.lit(False))

@@ -116,8 +116,8 @@ def parse_layout(answers: DataFrame) -> DataFrame:
     Whole-frame blocks go, and of blocks with the same normalized box the first
     stays. A width or height that isn't positive fails the query.
     """
-    sized = F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("width")).otherwise(F.raise_error(F.lit("an image has a positive size")).cast("int"))
-    rows = answers.withColumn("width", sized).withColumn("_clean", clean_model_text(F.col("content"))).withColumn("_boxes", json_boxes(F.col("_clean")))
+    sized = F.when((F.col("width") > 0) & (F.col("height") > 0), True).otherwise(F.raise_error(F.lit("an image has a positive size")).cast("boolean"))
+    rows = answers.filter(sized).withColumn("_clean", clean_model_text(F.col("content"))).withColumn("_boxes", json_boxes(F.col("_clean")))
     html = F.transform(F.filter(html_blocks(F.when(F.col("_boxes").isNull(), F.col("content"))), lambda x: is_text_label(x["label"])), lambda x: box_in_text(x["box"]))
     rows = rows.withColumn("_html", html).withColumn("_all", F.coalesce("_boxes", "_html"))
     blocks = rows.select("id", "width", "height", F.posexplode("_all").alias("pos", "box")).filter("box is not null")
