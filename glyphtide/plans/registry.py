@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import control, cues, eventlog, layout, linking, segments, tasks, tracks, vote
 from ..params import MergeParams
-from ..sources import logs
+from ..sources import frames, logs, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -634,3 +634,37 @@ def newest_result(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     stem = F.concat(F.lit("v"), F.col("o_custkey").cast("string"))
     return logs.newest(o.select(F.concat(stem, F.when(F.col("o_orderkey") % 3 == 0, ".srt").otherwise(".en.srt")).alias("path"), micros("o_orderdate").alias("modified")))
+
+
+# --- frames and messages ------------------------------------------------------------------------------
+
+
+FPS = "CAST(29.97 AS DOUBLE)"
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey AS stream, CAST(trunc(p_size / 2 * {FPS}) AS BIGINT) AS first, CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE CAST(trunc(p_size * 3 / 2 * {FPS}) AS BIGINT) END AS last FROM part)
+SELECT stream, first, last, last - first AS total, {FPS} AS fps FROM s"""
+)
+def frame_spans(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    end = F.when(F.col("p_partkey") % 2 == 1, F.col("p_size") * 1.5)
+    return frames.frame_spans(p.select(F.col("p_partkey").alias("stream"), F.lit(29.97).alias("fps"), F.col("p_partkey").alias("frame_count"), (F.col("p_size") * 0.5).alias("start_time"), end.alias("end_time")))
+
+
+@query("SELECT p_partkey, [0, 0, 640, 480] AS area, CASE WHEN p_size < 40 THEN [p_size, 0, least(p_size + 600, 640), 400] END AS mask FROM part")
+def frame_areas(spark, sf_dir):
+    size, w, h = F.col("p_size"), F.lit(640), F.lit(480)
+    area = frames.working_area(F.lit(True), size, size, size, size, w, h)
+    mask = frames.mask_area(F.lit(True), size, F.lit(-5), F.when(size < 40, 600), F.lit(405), w, h)
+    return read(spark, sf_dir, "part").select("p_partkey", area.alias("area"), mask.alias("mask"))
+
+
+@query(f"WITH {DONE} SELECT o_custkey % 100 AS stream, count(k) AS saved, count(*) - count(k) AS skipped FROM orders LEFT JOIN done ON k = o_orderkey GROUP BY 1")
+def frame_targets(spark, sf_dir):
+    return frames.targets_found(_required(spark, sf_dir), _done(spark, sf_dir))
+
+
+@query("""SELECT n_nationkey, '{"type":"msg","msg":"' || n_name || '"}' AS value FROM nation""")
+def messages(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select("n_nationkey", sinks.message(F.col("n_name")).alias("value"))
