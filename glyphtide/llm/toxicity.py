@@ -26,7 +26,7 @@ SAMPLE_ROWS, MAX_FEATURES = 20_000, 6_000
 LEAST_Z, LEAST_DOCS = 4.0, 3
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
-L2, COUNTERFACTUAL, STEPS = 2e-4, 5.0, 300
+L2, COUNTERFACTUAL, STEPS = 1e-4, 5.0, 300
 
 #: Terms that may stand for each other in a counterfactual, by group (fixed values).
 IDENTITY_GROUPS = (
