@@ -20,8 +20,10 @@ from .common import free_names, pick, require, settle, two_hashes
 
 #: Shorter lines are compared for equality alone.
 LEAST_CHARS = 20
-#: Shared halves that are sent to every executor, at most (some 20 MB).
+#: Rows of a table of keys that is sent to every executor, at most (some 20 MB).
 BROADCAST_KEYS = 500_000
+#: Characters that a task makes variants of, about.
+TASK_CHARS = 250_000
 _P = (1 << 31) - 1
 
 
@@ -48,28 +50,38 @@ def _variants(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A line's hash is the sum of its characters' hashes times a number for each
     place, modulo a prime, twice over; deleting a character moves later ones by
-    one place, so two running sums give the hash of every variant.
+    one place, so two running sums give the hash of every variant. Lines, not
+    their characters, are dealt to tasks, and a line's running sums are as long as
+    the line.
     """
-    chars = texts.select("h1", "h2", "first", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("at", "ch"))
+    chars = texts.agg(F.sum(F.length("line"))).first()[0] or 0
+    dealt = texts.select("h1", "h2", "line").repartition(max(1, -(-chars // TASK_CHARS)), "h1", "h2")
+    rows = dealt.select("h1", "h2", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("at", "ch"))
     value = F.pmod(F.xxhash64("ch"), F.lit(_P))
     place = lambda turn, at: F.pmod(F.xxhash64(F.lit(turn), at), F.lit(_P))
     for turn in (1, 2):
-        chars = chars.withColumn(f"here{turn}", F.pmod(value * place(turn, F.col("at")), F.lit(_P)))
-        chars = chars.withColumn(f"moved{turn}", F.pmod(value * place(turn, F.col("at") - 1), F.lit(_P)))
-    line = Window.partitionBy("h1", "h2").orderBy("at")
-    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+        rows = rows.withColumn(f"here{turn}", F.pmod(value * place(turn, F.col("at")), F.lit(_P)))
+        rows = rows.withColumn(f"moved{turn}", F.pmod(value * place(turn, F.col("at") - 1), F.lit(_P)))
+    line = Window.partitionBy("h1", "h2")
+    upto = line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     parts = []
     for turn in (1, 2):
-        left, right = F.coalesce(F.sum(f"here{turn}").over(before), F.lit(0)), F.coalesce(F.sum(f"moved{turn}").over(after), F.lit(0))
+        left = F.sum(f"here{turn}").over(upto) - F.col(f"here{turn}")
+        # What follows is the total without what came so far; a frame to the end would be summed anew for each row.
+        right = F.sum(f"moved{turn}").over(line) - F.sum(f"moved{turn}").over(upto)
         parts.append(F.pmod(left + right, F.lit(_P)))
     code = lambda a, b: F.call_function("shiftleft", a, F.lit(31)).bitwiseOR(b)
-    # The running sums need the line's rows together: they are as many as the line has characters.
-    variants = chars.select("h1", "h2", "first", (F.col("n") - 1).alias("size"), "at", code(*parts).alias("hash"))
+    variants = rows.select("h1", "h2", (F.col("n") - 1).alias("size"), "at", code(*parts).alias("hash"))
     sums = [F.pmod(F.sum(f"here{turn}"), F.lit(_P)) for turn in (1, 2)]
-    wholes = chars.groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("n").alias("size"), code(*sums).alias("hash"))
+    wholes = rows.groupBy("h1", "h2", F.col("n").alias("size")).agg(code(*sums).alias("hash"))
     return variants, wholes
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A broadcast, if the table is small; else what it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def near_line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, texts, links): occurrences, distinct lines, and verified links later -> earlier.
 
@@ -83,19 +95,24 @@ def near_line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = settle(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.any_value("halves").alias("halves")), "line-texts")
     keyed = texts.filter("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
     shared = settle(keyed.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"), "line-halves")
-    some = keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "half", "left_semi").select("h1", "h2").distinct()
+    some = keyed.join(_few(shared), "half", "left_semi").select("h1", "h2").distinct()
     chosen = pick(found, some, "line-candidates").dropDuplicates(["h1", "h2"]).join(texts.select("h1", "h2", "first"), ["h1", "h2"])
     chosen = settle(chosen.select("h1", "h2", "first", "line"), "line-chosen")
     variants, wholes = _variants(chosen)
-    variants = settle(variants, "line-variants")
+    variants, wholes = settle(variants, "line-variants"), settle(wholes, "line-wholes")
+    firsts = chosen.select("h1", "h2", "first")
     me = F.struct("first", "h1", "h2")
     # One character replaced: the same variant by the same place. All in a group are within one edit.
-    groups = variants.groupBy("hash", "size", "at").agg(F.min(me).alias("earlier"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    replaced = variants.join(groups, ["hash", "size", "at"]).select("earlier", me.alias("later"))
+    same = ["hash", "size", "at"]
+    common = settle(variants.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-common")
+    members = settle(variants.join(_few(common), same, "left_semi").join(firsts, ["h1", "h2"]).select(*same, me.alias("me")), "line-members")
+    groups = members.groupBy(*same).agg(F.min("me").alias("earlier"))
+    replaced = members.join(groups, same).select("earlier", F.col("me").alias("later"))
     # One character more or less: a whole line equals a variant of another.
-    shorter = wholes.select("hash", "size", me.alias("x"))
-    other = variants.select("hash", "size", me.alias("y")).join(shorter, ["hash", "size"])
-    moved = other.select(F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later"))
+    met = variants.select("h1", "h2", "size", "hash").join(_few(wholes.select("hash", "size", F.col("h1").alias("s1"), F.col("h2").alias("s2"))), ["hash", "size"])
+    met = met.select("h1", "h2", "s1", "s2").distinct().join(firsts, ["h1", "h2"]).withColumn("y", me).select("y", F.col("s1").alias("h1"), F.col("s2").alias("h2"))
+    met = met.join(firsts, ["h1", "h2"]).withColumn("x", me)
+    moved = met.select(F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later"))
     pairs = replaced.unionByName(moved).filter("earlier <> later").distinct()
     side = lambda name: chosen.select(F.col("h1").alias(f"{name}1"), F.col("h2").alias(f"{name}2"), F.col("line").alias(f"{name}_line"))
     flat = pairs.select(F.col("earlier.first").alias("keeper"), F.col("earlier.h1").alias("a1"), F.col("earlier.h2").alias("a2"), F.col("later.h1").alias("b1"), F.col("later.h2").alias("b2"))
