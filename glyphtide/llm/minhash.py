@@ -291,6 +291,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("class"))
 
 
+def _numbered(reps: DataFrame) -> DataFrame:
+    """Add ``rep``: a number of each text, unique and in the order of (key, h1, h2)."""
+    ordered = settle(reps, "near-reps").repartitionByRange("key", "h1", "h2").sortWithinPartitions("key", "h1", "h2")
+    return settle(ordered.withColumn("rep", F.monotonically_increasing_id()), "near-numbers")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, rep, class_id, links, kept.
 
@@ -299,9 +305,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts, ``kept`` true on the row that stays for its class. Equal texts, empty ones
     too, are one class; a null text is a class of its own; a text without words
     links to no other text. Rows that repeat an id and its text share their
-    result. doc_id must be an integer; a null one counts as smallest. An empty
-    table gives no rows; other columns are ignored.
+    result. doc_id must be an integer; a null one counts as smallest, and texts
+    are told apart by their hashes, not by ids, which may repeat or be null. An
+    empty table gives no rows; other columns are ignored.
     """
+    return _judged(docs, similarity, bands, rows).drop("h1", "h2")
+
+
+def _judged(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """What ``near_duplicates`` gives, with the h1 and h2 of each row's text."""
     require(docs, "doc_id", "text")
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
@@ -310,7 +322,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     counters = _count_shingles(docs)
     idf = spark.sparkContext.broadcast(inverse_frequencies(counters, docs.select("doc_id").count()))
     ids = settle(_band_keys(named, idf, bands, rows), "near-keys")
-    reps = settle(ids.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.any_value("keys").alias("keys")), "near-reps")
+    reps = _numbered(ids.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.any_value("keys").alias("keys")))
 
     near = F.xxhash64(F.lit(9), *[F.col("keys")[k] for k in range(0, bands, 2)])
     members = reps.filter("keys is not null").select("rep", near.alias("near"), F.posexplode("keys").alias("band", "value"))
@@ -327,38 +339,47 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = first.unionByName(more).distinct()
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    by_rep = reps.select("h1", "h2", "rep").join(classes, "rep", "left").join(degree, "rep", "left")
-    by_rep = by_rep.select("h1", "h2", "rep", F.coalesce("class", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    # Numbers are in the order of keys, so a class's smallest number is that of its smallest key.
+    classes = classes.join(reps.select(F.col("rep").alias("class"), F.col("key").alias("class_key")), "class")
+    by_rep = reps.select("h1", "h2", "rep", F.col("key").alias("rep_key")).join(classes, "rep", "left").join(degree, "rep", "left")
+    stays = (F.coalesce("class", "rep") == F.col("rep")).alias("stays")
+    by_rep = by_rep.select("h1", "h2", "rep_key", F.coalesce("class_key", "rep_key").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"), stays)
     out = ids.select("doc_id", "key", "h1", "h2").join(by_rep, ["h1", "h2"])
-    return out.select("doc_id", F.nullif("rep", F.lit(NO_ID)).alias("rep"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"), "links", (F.col("key") == F.col("class_id")).alias("kept"))
+    kept = (F.col("stays") & (F.col("key") == F.col("rep_key"))).alias("kept")
+    return out.select("doc_id", F.nullif("rep_key", F.lit(NO_ID)).alias("rep"), F.nullif("class_key", F.lit(NO_ID)).alias("class_id"), "links", kept, "h1", "h2")
 
 
 def _texts_of(named: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, text) of the texts that are in any bucket with others."""
-    wanted = members.select("rep").distinct().join(reps.select("rep", "h1", "h2"), "rep")
+    own = reps.select("rep", "key", "h1", "h2")
+    wanted = settle(members.select("rep").distinct().join(own, "rep"), "near-own")
     # Of equal texts the one with the smallest id stands for them.
-    wanted = wanted.withColumnRenamed("rep", "key")
     found = pick(named.filter("text is not null").select("key", "h1", "h2", "text"), wanted, "near-wanted", ("key", "h1", "h2"))
-    return settle(found.dropDuplicates(["key", "h1", "h2"]).select(F.col("key").alias("rep"), "text"), "near-texts")
+    found = found.dropDuplicates(["key", "h1", "h2"]).join(wanted.hint("merge"), ["key", "h1", "h2"])
+    return settle(found.select("rep", "text"), "near-texts")
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class of near duplicates; all columns, nothing else changed.
 
-    The row with the smallest doc_id stays; of rows that repeat it, any one.
+    The row with the smallest doc_id stays; of rows that repeat it and its text, any
+    one. Rows are told by id and text; those with neither an id nor a text all stay.
     """
-    (own,) = free_names(docs, "near_id")
-    found = settle(near_duplicates(docs, similarity), "near-classes").withColumnRenamed("doc_id", own)
-    gone = settle(found.filter("not kept").select(own).distinct(), "near-gone")
-    again = settle(found.filter("kept").groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own), "near-again")
-    # An id that also stands for a text that stays can't tell its rows apart.
-    both = found.filter("kept").select(F.col(own).alias("kept_id")).join(gone, F.col("kept_id").eqNullSafe(F.col(own)), "left_semi")
+    own, one, two = free_names(docs, "near_id", "near_h1", "near_h2")
+    found = settle(_judged(docs, similarity, BANDS, ROWS), "near-classes")
+    found = found.select(F.col("doc_id").alias(own), F.col("h1").alias(one), F.col("h2").alias(two), "kept")
+    gone = settle(found.filter("not kept").select(own, one, two).distinct(), "near-gone")
+    again = settle(found.filter("kept").groupBy(own, one, two).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own, one, two), "near-again")
+    # An id stands for one text: a table in which it also stands for one that goes is refused. A null one stands for nothing.
+    both = found.filter("kept").select(F.col(own).alias("kept_id")).join(gone.select(own).distinct(), F.col("kept_id") == F.col(own), "left_semi")
     if both.limit(1).count():
-        raise ValueError("a doc_id stands for several texts; near duplicates are told by it")
+        raise ValueError("a doc_id stands for several texts, one of which is a near duplicate")
     few = lambda df: F.broadcast(df) if df.count() <= 200_000 else df
-    same = F.col("doc_id").eqNullSafe(F.col(own))
+    h1, h2 = two_hashes(F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    named = F.col("doc_id").isNotNull() | F.col("text").isNotNull()
+    same = named & (h1 == F.col(one)) & (h2 == F.col(two)) & F.col("doc_id").eqNullSafe(F.col(own))
     kept = docs.join(few(gone), same, "left_anti")
     if not again.limit(1).count():
         return kept
-    repeated = kept.join(few(again), same, "left_semi").dropDuplicates(["doc_id"])
+    repeated = kept.join(few(again), same).dropDuplicates([own, one, two]).select(*docs.columns)
     return kept.join(few(again), same, "left_anti").unionByName(repeated)

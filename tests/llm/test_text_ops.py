@@ -207,6 +207,19 @@ def test_near_duplicates_of_awkward_rows(spark):
         minhash.distinct_documents(docs(spark, [(1, "a b c"), (2, "a b c"), (2, "d e f")]))
 
 
+def test_rows_without_or_with_a_shared_id_are_told_by_their_text(spark):
+    words = prose(70, 200).split()
+    base, close = " ".join(words), " ".join([*words[:100], "changed", *words[101:]])
+    rows = [(None, prose(71, 60)), (None, prose(72, 60)), (None, base), (None, close), (None, None), (None, None), (7, prose(73, 60)), (7, prose(74, 60)), (7, prose(74, 60)), (8, prose(75, 60)), (9, prose(75, 60))]
+    kept = [(r.doc_id, r.text) for r in minhash.distinct_documents(docs(spark, rows)).collect()]
+    near = [x for x in kept if x[1] in (base, close)]
+    assert len(near) == 1
+    want = [(None, prose(71, 60)), (None, prose(72, 60)), (None, None), (None, None), (7, prose(73, 60)), (7, prose(74, 60)), (8, prose(75, 60))]
+    assert sorted(map(str, (x for x in kept if x not in near))) == sorted(map(str, want))
+    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r.links for r in got) == 2 and sum(r.kept for r in got) == 9
+
+
 def test_draws_agree_as_often_as_texts_are_similar():
     sampler = minhash.Sampler(np.ones(minhash.COUNTERS), bands=400, rows=1)
     words = prose(5, 400).split()
