@@ -264,6 +264,18 @@ def test_leaks_are_found_and_prose_is_left(spark):
     assert decontaminate.clean_documents(docs(spark), bench).count() == docs(spark).count()
 
 
+def test_a_passage_is_judged_by_itself(spark):
+    item = "Each of the 12 drivers in the city pays 15 euros for a seat at the table and 30 euros for a seat at the door of the old hall"
+    other = item.replace("12", "70").replace("15", "44").replace("30", "44")
+    short = "What is the name of that river here"
+    spread = prose(80, 60).split()
+    scattered = " and so ".join(" ".join([*spread[k : k + 8], f"x{k}"]) for k in (0, 10, 20, 30, 40, 50))
+    bench = spark.createDataFrame([(0, item), (1, short), (2, " ".join(spread)), (3, item.replace("12", "12 or 13"))], "item_id long, text string")
+    rows = [(1, f"{item}. {prose(81, 40)}. {other}"), (2, f"They then asked, {short} or there"), (3, scattered), (4, other)]
+    got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.leaks_by_document(docs(spark, rows), bench).collect()}
+    assert {(1, 0, False), (2, 1, False)} <= got and {i for i, _, _ in got} == {1, 2}
+
+
 # --- lines -------------------------------------------------------------------------------------------------
 
 
