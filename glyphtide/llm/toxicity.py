@@ -11,7 +11,8 @@ doesn't by itself raise a score.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,9 @@ IDENTITY_GROUPS = (
     ("musulmanes", "cristianos", "judíos"),
 )
 
+#: Indices of the features that a swapped sentence loses, and of those it gains.
+Swap = tuple[tuple[int, ...], tuple[int, ...]]
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -77,12 +81,13 @@ def counterfactuals(text: str, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS
     return out
 
 
-def train(rows: Sequence[Sequence[int]], labels: Sequence[int], swaps: Sequence[tuple[Sequence[int], Sequence[int]]], n_features: int, l2: float = L2, counterfactual: float = COUNTERFACTUAL, steps: int = STEPS, rate: float = 0.3) -> np.ndarray:
-    """Weights, the intercept last: full-batch Adam, so the result depends on the rows alone.
+def objective(rows: Sequence[Sequence[int]], labels: Sequence[int], swaps: Mapping[Swap, int], n_features: int, l2: float = L2, counterfactual: float = COUNTERFACTUAL) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The training loss and its gradient, as a function of the weights (the intercept last).
 
     Loss: mean logistic loss, classes weighed equally, plus ``l2`` times the
     squared weights, plus ``counterfactual`` times the mean squared change of
-    the log-odds over the swapped sentences.
+    the log-odds over the swapped sentences. ``swaps`` says how often each
+    (features lost, features gained) occurs.
     """
     y = np.asarray(labels, dtype=np.float64)
     sizes = np.array([len(r) for r in rows], dtype=np.int64)
@@ -91,28 +96,52 @@ def train(rows: Sequence[Sequence[int]], labels: Sequence[int], swaps: Sequence[
     pos = max(1.0, y.sum())
     weight = np.where(y > 0, 0.5 / pos, 0.5 / max(1.0, len(y) - pos))
     signs, s_col, s_row = [], [], []
-    for k, (a, b) in enumerate(swaps):
-        for sign, side in ((1.0, set(a) - set(b)), (-1.0, set(b) - set(a))):
+    for k, (lost, gained) in enumerate(swaps):
+        for sign, side in ((1.0, lost), (-1.0, gained)):
             s_col += list(side)
             s_row += [k] * len(side)
             signs += [sign] * len(side)
     s_col, s_row, signs = np.array(s_col, dtype=np.int64), np.array(s_row, dtype=np.int64), np.array(signs)
-    w = np.zeros(n_features + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
+    times = np.array(list(swaps.values()), dtype=np.float64)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(row, w[col], minlength=len(rows)) + w[-1]
+        loss = weight @ (np.logaddexp(0, z) - y * z) + l2 * (w[:-1] @ w[:-1])
         g_row = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(col, g_row[row], minlength=n_features + 1).astype(np.float64)
         g[-1] = g_row.sum()
-        if len(swaps):
-            change = np.bincount(s_row, signs * w[s_col], minlength=len(swaps))
-            g += 2 * counterfactual / len(swaps) * np.bincount(s_col, signs * change[s_row], minlength=n_features + 1)
+        if times.size:
+            change = np.bincount(s_row, signs * w[s_col], minlength=times.size)
+            loss += counterfactual * (times @ (change * change)) / times.sum()
+            g += 2 * counterfactual / times.sum() * np.bincount(s_col, signs * (times * change)[s_row], minlength=n_features + 1)
         g[:-1] += 2 * l2 * w[:-1]
+        return float(loss), g
+
+    return at
+
+
+def train(rows: Sequence[Sequence[int]], labels: Sequence[int], swaps: Mapping[Swap, int], n_features: int, l2: float = L2, counterfactual: float = COUNTERFACTUAL, steps: int = STEPS, rate: float = 0.3) -> np.ndarray:
+    """Weights that make ``objective`` small: full-batch Adam, so they depend on the rows alone."""
+    at = objective(rows, labels, swaps, n_features, l2, counterfactual)
+    w = np.zeros(n_features + 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        g = at(w)[1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
+def indexed_swaps(text: str, index: Mapping[str, int], groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> Counter[Swap]:
+    """How often each swap occurs among all the sentences of a text that name an identity term."""
+    side = lambda words: {index[f] for f in features_of(words) if f in index}
+    out: Counter[Swap] = Counter()
+    for before, after in counterfactuals(text, groups):
+        a, b = side(before), side(after)
+        out[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+    return out
+
+
 def _feature_counts(sample: DataFrame) -> DataFrame:
     """(feature, pos, docs): in how many toxic texts, and in how many, each feature occurs."""
 
@@ -164,14 +193,18 @@ def fit(labelled: DataFrame, max_features: int = MAX_FEATURES, groups: Sequence[
                 for t in part.column(1):
                     text = t.as_py()
                     found.append(sorted(index[f] for f in features_of(words_of(text)) if f in index))
-                    pairs = counterfactuals(text, groups)[:8]
-                    swaps.append([sorted(index[f] for f in features_of(side) if f in index) for pair in pairs for side in pair])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["toxic", "found", "swaps"])
-
-    got = sample.select("toxic", "text").mapInArrow(rows, "toxic int, found array<int>, swaps array<array<int>>").toArrow()
-    order = sorted(zip(got["toxic"].to_pylist(), got["found"].to_pylist(), got["swaps"].to_pylist(), strict=True))
-    pairs = [(s[k], s[k + 1]) for _, _, s in order for k in range(0, len(s), 2)]
-    w = train([f for _, f, _ in order], [y for y, _, _ in order], pairs, len(names))
+                    swaps.append([{"lost": lost, "gained": gained, "times": n} for (lost, gained), n in indexed_swaps(text, index, groups).items()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(swaps, pa.list_(swap_type))], names=["toxic", "found", "swaps"])
+
+    swap_type = pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32())), ("times", pa.int64())])
+    got = sample.select("toxic", "text").mapInArrow(rows, "toxic int, found array<int>, swaps array<struct<lost:array<int>,gained:array<int>,times:bigint>>").toArrow()
+    order = sorted(zip(got["toxic"].to_pylist(), got["found"].to_pylist(), strict=True))
+    # Sentences that lose and gain the same features are one weighted swap, so few are held.
+    total: Counter[Swap] = Counter()
+    for held in got["swaps"].to_pylist():
+        for s in held:
+            total[tuple(s["lost"]), tuple(s["gained"])] += s["times"]
+    w = train([f for _, f in order], [y for y, _ in order], dict(sorted(total.items())), len(names))
     return {"": float(w[-1])} | {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-6}
 
 
