@@ -3,7 +3,11 @@
 The field scores whole candidate spans (digit counts, check digits, shapes and
 the word before them), and a dynamic programme with bounded entity length picks
 boundaries and types together. It is trained here, on generated sentences with
-known spans. Base spans always stay; the field adds spans beside them.
+known spans. Base spans always stay; the field decodes what they leave free.
+
+Bounds on what the field can add (base spans have none): a span has at most
+``MAX_TOKENS`` tokens, and lies within ``REACH`` characters of a digit or an at
+sign, without a blank between beyond the outermost of these.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,8 @@ from .common import require
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity at most, and characters that a candidate region reaches beyond a digit or an at sign.
 MAX_TOKENS, REACH = 14, 48
+#: Spans of up to so many characters have their features remembered.
+REMEMBERED = 96
 TRAIN_SENTENCES, EPOCHS, SEED = 150, 7, 11
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -102,13 +108,13 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _shape(span: str) -> str:
-    """Character classes, runs folded; long ones are cut, as no entity is that varied."""
+    """Character classes, runs folded."""
     out = []
     for c in span:
         k = "d" if "0" <= c <= "9" else "a" if c.isalpha() else "_" if c.isspace() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out)[:24]
+    return "".join(out)
 
 
 def _span_features(span: str, before: str, after: str, cue: str) -> tuple[str, ...]:
@@ -145,27 +151,35 @@ class SemiCrf:
         self.known: dict[tuple[str, str, str, str], tuple[str, ...]] = {}
 
     def features(self, *span: str) -> tuple[str, ...]:
+        if len(span[0]) > REMEMBERED:
+            return _span_features(*span)
         if span not in self.known:
             if len(self.known) >= 1 << 15:
                 self.known.clear()
             self.known[span] = _span_features(*span)
         return self.known[span]
 
-    def lattice(self, text: str, start: int, end: int):
-        """Token bounds, and for each pair (i, j) the features of tokens i to j."""
+    def lattice(self, text: str, start: int, end: int, taken: Sequence[tuple[int, int]] = ()):
+        """Token bounds, and for each pair (i, j) the features of tokens i to j.
+
+        No span reaches into ``taken`` (disjoint, in order).
+        """
         at = [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
         m = _WORD_BEFORE.search(text, max(0, start - 40), start)
         cue0 = CUES.get(m[1].lower(), "-") if m else "-"
-        spans, cue = {}, cue0
+        spans, cue, k = {}, cue0, 0
         for i in range(len(at) - 1):
             token = text[at[i] : at[i + 1]]
+            while k < len(taken) and taken[k][1] <= at[i]:
+                k += 1
+            stop = taken[k][0] if k < len(taken) else end
             if not token[0].isspace():
                 left = _class(text[at[i] - 1 : at[i]])
                 for j in range(i + 1, min(len(at), i + MAX_TOKENS + 1)):
+                    if at[j] > stop:
+                        break
                     if text[at[j] - 1].isspace():
                         continue
-                    if at[j] - at[i] > 96:
-                        break
                     spans[i, j] = self.features(text[at[i] : at[j]], left, _class(text[at[j] : at[j] + 1]), cue)
             if token[0].isalpha():
                 cue = CUES.get(token.lower(), "-")
@@ -175,8 +189,9 @@ class SemiCrf:
         w = self.weights
         return {k: np.array([sum(w.get((y, f), 0.0) for f in fs) for y in range(1, len(KINDS) + 1)]) for k, fs in spans.items()}
 
-    def decode(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-        at, spans = self.lattice(text, start, end)
+    def decode(self, text: str, start: int, end: int, taken: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int, int]]:
+        """The segmentation with the greatest score: (start, kind, end) of its entities, none of which meets ``taken``."""
+        at, spans = self.lattice(text, start, end, taken)
         n, score = len(at) - 1, self.scores(len(at) - 1, spans)
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         for j in range(1, n + 1):
@@ -287,17 +302,24 @@ def find_spans(text: str | None, model: SemiCrf) -> tuple[list[tuple[int, int, i
     if not text:
         return [], []
     base = base_spans(text)
-    taken = sorted((s, e) for s, _, e in base)
+    taken: list[tuple[int, int]] = []
+    for s, _, e in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1] = taken[-1][0], max(e, taken[-1][1])
+        else:
+            taken.append((s, e))
     added, k = [], 0
     for a, b in regions(text):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        clash = [t for t in taken[k:] if t[0] < b] if k < len(taken) and taken[k][0] < b else []
-        if len(clash) == 1 and clash[0][0] <= a and clash[0][1] >= b:
+        if k < len(taken) and taken[k][0] <= a and taken[k][1] >= b:
             continue
-        for span in model.decode(text, a, b):
-            if not any(s < span[2] and span[0] < e for s, e in clash):
-                added.append(span)
+        # Disjoint and in order, so each lies in the one region that it is passed to, or in the next as well.
+        first = k
+        while k < len(taken) and taken[k][0] < b:
+            k += 1
+        added += model.decode(text, a, b, taken[first:k])
+        k = max(first, k - 1)
     return base, sorted({*base, *added})
 
 
