@@ -5,6 +5,13 @@ draws one (shingle, level) of each hash so that two texts draw the same one with
 the probability of their weighted Jaccard similarity. Bands of draws name
 candidates, whose similarity is then computed in full; links join into classes.
 
+A small bucket's texts are compared all with all; those of a crowded one with its
+first. Where some don't link to that, texts of the bucket also meet by the
+rarest shingles of each (prefix filtering): two texts similar enough share one
+among the rarest, of 1/9 of the smaller text's weight and 1/5 of the larger's.
+Crowded shingles go the same way, and what is then still apart is compared in
+blocks. So each two similar texts that share a bucket end in one class.
+
 Document frequencies come from all distinct texts, in a table of hashed counters
 of fixed size: counters are shared by shingles, so a frequency is never too low.
 """
@@ -15,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_names, pick, require, settle, two_hashes
@@ -30,8 +37,12 @@ COUNTERS = 1 << 18
 NO_ID = -(1 << 62)
 #: Values in each table of random variates.
 TABLE = 1 << 16
-#: Texts before it, in order, that a text is compared with if it doesn't link to its bucket's first.
-NEIGHBOURS = 3
+#: Texts of a bucket that are compared all with all, at most.
+FULL = 16
+#: Texts of a block, about, where a crowded group has to be compared in blocks.
+BLOCK = 64
+#: Rows of a table that is sent to every executor, at most (some 10 MB).
+BROADCAST_ROWS = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -130,8 +141,11 @@ class Sampler:
         self.beta = rng.random(TABLE).astype(np.float32)
         self.keys = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
 
+    def idf_of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.idf[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+
     def weights(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * self.idf[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        return counts * self.idf_of(hashes)
 
     def band_keys(self, hashes: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A signed 64-bit key of each band, for each text of a batch that has shingles."""
@@ -220,38 +234,131 @@ def _ordered(column: str, other: str) -> list:
     return [F.least(column, other).alias("a"), F.greatest(column, other).alias("b")]
 
 
-def _neighbour_pairs(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """What the members that don't link to their bucket's first text meet instead.
+def _few(df: DataFrame) -> DataFrame:
+    """A broadcast, if the table is small; else what it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _sized(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the size m and the first rep of their group: those of small groups, and of crowded ones.
 
-    Each meets the first of those like it, and the ``NEIGHBOURS`` texts before it in
-    the order of their other band keys. Large buckets are put in order in hashed
-    slices of some 256 members, so no bucket is gathered in one task.
+    Groups of one are left out. Crowded groups are few, so their rows aren't dealt by the group.
     """
-    meets = linked.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.lit(True).alias("met"))
-    rows = members.join(meets, ["head", "rep"], "left").withColumn("open", F.col("met").isNull() & (F.col("rep") != F.col("head")))
-    busy = rows.filter("open").groupBy("bucket").agg(F.min("rep").alias("second"))
-    rows = settle(rows.join(busy, "bucket").withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / 256))), "near-open")
-    order = Window.partitionBy("bucket", "slice").orderBy("near", "rep")
-    partners = F.array("second", *[F.lag("rep", k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    found = rows.select("rep", "head", "open", partners.alias("others")).filter("open").select("rep", "head", F.explode("others").alias("other"))
-    return found.filter("other is not null and other <> rep and other <> head").select(*_ordered("rep", "other")).distinct()
+    sizes = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("head")).filter("m > 1"), f"{name}-sizes")
+    crowded = _few(sizes.filter(F.col("m") > FULL))
+    small = rows.join(crowded.select(key), key, "left_anti").join(sizes.filter(F.col("m") <= FULL), key)
+    return settle(small, f"{name}-small"), settle(rows.join(crowded, key), f"{name}-crowded")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, bands: int, rows: int) -> DataFrame:
+def _prefixes(texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """(shingle, rep, open, weight, short): the rarest shingles of each text.
+
+    Shingles are ordered by idf, then hash. What follows a text's prefix weighs
+    less than ``similarity`` times the text, and what follows the ``short`` part of
+    it less than the overlap that a text at least as heavy must have with it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, longer = Sampler(idf.value), 2 * similarity / (1 + similarity)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                hashes, counts = shingles(batch.column(2)[r].as_py())
+                w = sampler.weights(hashes, counts).astype(np.float64)
+                order = np.lexsort((hashes, -sampler.idf_of(hashes)))
+                # What each shingle and those after it weigh; a prefix ends where too little is left.
+                left = np.cumsum(w[order][::-1])[::-1]
+                total = left[0] if left.size else 0.0
+                n = int((left >= similarity * total * (1 - 1e-9)).sum())
+                head = order[:n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[head].astype(np.int64)), pa.array(np.full(n, batch.column(0)[r].as_py()), pa.int64()), pa.array([batch.column(1)[r].as_py()] * n, pa.bool_()), pa.array(np.full(n, total)), pa.array(left[:n] >= longer * total * (1 - 1e-9), pa.bool_())],
+                    names=["shingle", "rep", "open", "weight", "short"],
+                )
+
+    return texts.select("rep", "open", "text").mapInArrow(run, "shingle long, rep long, open boolean, weight double, short boolean")
+
+
+def _meeting(left: str, right: str, similarity: float):
+    """Two rows of a shingle that have to be compared: a short prefix, and one of a text at least as heavy."""
+    a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+    heavier = (a("weight") < b("weight")) | ((a("weight") == b("weight")) & (a("rep") < b("rep")))
+    return a("short") & heavier & (a("open") | b("open")) & (a("weight") >= b("weight") * similarity * (1 - 1e-9))
+
+
+def _crowded_links(crowded: DataFrame, links: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links (a, b) within crowded buckets that those with the bucket's first text don't make up for."""
+    spark = crowded.sparkSession
+    none = spark.createDataFrame([], "a long, b long")
+    meets = links.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.lit(True).alias("met"))
+    rows = settle(crowded.join(meets, ["head", "rep"], "left").select("bucket", "rep", (F.col("met").isNull() & (F.col("rep") != F.col("head"))).alias("open")), "near-open")
+    busy = settle(rows.filter("open").select("bucket").distinct(), "near-busy")
+    if not busy.limit(1).count():
+        return none
+    asked = rows.join(_few(busy), "bucket").groupBy("rep").agg(F.bool_or("open").alias("open"))
+    asked = settle(texts.join(settle(asked, "near-asked").hint("merge"), "rep"), "near-asked-texts")
+    small, large = _sized(settle(_prefixes(asked, idf, similarity), "near-prefixes"), "shingle", "near-prefix")
+    near = small.alias("x").join(small.alias("y"), "shingle").filter(_meeting("x", "y", similarity)).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
+    led = large.filter("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    found = settle(_verified(near.unionByName(led).select(*_ordered("u", "v")).distinct(), texts, idf, similarity), "near-links")
+    # What crowded shingles still hold apart, by class, is compared block by block.
+    classes = settle(components(links.unionByName(found).distinct()), "near-classes")
+    large = large.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    apart = large.groupBy("shingle").agg(F.count_if("short").alias("shorts"), F.min("class").alias("low"), F.max("class").alias("high"))
+    apart = settle(apart.filter("shorts > 0 and low < high").select("shingle", F.ceil(F.col("shorts") / BLOCK).alias("blocks")), "near-apart")
+    if not apart.limit(1).count():
+        return found
+    held = large.join(_few(apart), "shingle")
+    one = held.filter("short").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("kind", F.lit(0))
+    every = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    cells = one.unionByName(every).select("shingle", "block", "kind", "rep", "class", "open", "weight").join(texts.hint("merge"), "rep")
+    cells = cells.select("shingle", "block", "kind", "rep", "class", "open", "weight", "text").repartition("shingle", "block").sortWithinPartitions("shingle", "block", "kind", "rep")
+    more = settle(_block_links(cells, idf, similarity).distinct(), "near-block-links")
+    return found.unionByName(more).distinct()
+
+
+def _block_links(cells: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links between each block's texts (kind 0) and the texts that follow them (kind 1), of other classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, now, block = Sampler(idf.value), None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in range(7)]
+            a, b = [], []
+            for k, (shingle, number, kind, rep, own, open_, weight) in enumerate(zip(*cols, strict=True)):
+                if (shingle, number) != now:
+                    now, block = (shingle, number), []
+                this = shingles(batch.column(7)[k].as_py())
+                if not kind:
+                    block.append((rep, own, open_, weight, this))
+                    continue
+                for other, theirs, also, lighter, known in block:
+                    if theirs != own and (open_ or also) and (lighter, other) < (weight, rep) and lighter >= weight * similarity * (1 - 1e-9) and sampler.similarity(known, this) >= similarity - 1e-12:
+                        a.append(min(rep, other))
+                        b.append(max(rep, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs whose texts are similar enough."""
     first = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(idf.value, bands, rows)
+        sampler = Sampler(idf.value)
         known: dict[int, tuple] = {}
+        held = 0
 
         def of(rep: int, text) -> tuple:
+            nonlocal held
             if rep not in known:
-                if sum(x[0].size for x in known.values()) > 1 << 18:
+                if held > 1 << 18:
                     known.clear()
+                    held = 0
                 known[rep] = shingles(text.as_py())
+                held += known[rep][0].size
             return known[rep]
 
         for batch in batches:
@@ -315,6 +422,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def _judged(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
     """What ``near_duplicates`` gives, with the h1 and h2 of each row's text."""
     require(docs, "doc_id", "text")
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise ValueError("doc_id must be an integer column")
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     h1, h2 = two_hashes(F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
@@ -324,19 +433,13 @@ def _judged(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFr
     ids = settle(_band_keys(named, idf, bands, rows), "near-keys")
     reps = _numbered(ids.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.any_value("keys").alias("keys")))
 
-    near = F.xxhash64(F.lit(9), *[F.col("keys")[k] for k in range(0, bands, 2)])
-    members = reps.filter("keys is not null").select("rep", near.alias("near"), F.posexplode("keys").alias("band", "value"))
-    members = members.select(F.xxhash64("band", "value").alias("bucket"), "rep", "near")
-    sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("head")).filter("m > 1")
-    members = settle(members.join(sized, "bucket"), "near-members")
-    texts = _texts_of(named, members, reps)
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return settle(_verified(pairs, texts, idf, similarity, bands, rows), "near-links")
-
-    first = check(members.filter("rep <> head").select(*_ordered("rep", "head")).distinct())
-    more = check(_neighbour_pairs(members, first))
-    links = first.unionByName(more).distinct()
+    members = reps.filter("keys is not null").select("rep", F.posexplode("keys").alias("band", "value"))
+    small, crowded = _sized(members.select(F.xxhash64("band", "value").alias("bucket"), "rep"), "bucket", "near-bucket")
+    texts = _texts_of(named, small.select("rep").unionByName(crowded.select("rep")), reps)
+    pairs = small.select("bucket", F.col("rep").alias("a")).join(small.select("bucket", F.col("rep").alias("b")), "bucket").filter("a < b").select("a", "b")
+    pairs = pairs.unionByName(crowded.filter("rep <> head").select(*_ordered("rep", "head"))).distinct()
+    first = settle(_verified(pairs, texts, idf, similarity), "near-links")
+    links = first.unionByName(_crowded_links(crowded, first, texts, idf, similarity)).distinct()
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     # Numbers are in the order of keys, so a class's smallest number is that of its smallest key.
@@ -363,23 +466,19 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     """One row of ``docs`` for each class of near duplicates; all columns, nothing else changed.
 
     The row with the smallest doc_id stays; of rows that repeat it and its text, any
-    one. Rows are told by id and text; those with neither an id nor a text all stay.
+    one. Rows are told by id and text, so an id that stands for several texts stays
+    with those that stay; rows with neither an id nor a text all stay.
     """
     own, one, two = free_names(docs, "near_id", "near_h1", "near_h2")
     found = settle(_judged(docs, similarity, BANDS, ROWS), "near-classes")
     found = found.select(F.col("doc_id").alias(own), F.col("h1").alias(one), F.col("h2").alias(two), "kept")
     gone = settle(found.filter("not kept").select(own, one, two).distinct(), "near-gone")
     again = settle(found.filter("kept").groupBy(own, one, two).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own, one, two), "near-again")
-    # An id stands for one text: a table in which it also stands for one that goes is refused. A null one stands for nothing.
-    both = found.filter("kept").select(F.col(own).alias("kept_id")).join(gone.select(own).distinct(), F.col("kept_id") == F.col(own), "left_semi")
-    if both.limit(1).count():
-        raise ValueError("a doc_id stands for several texts, one of which is a near duplicate")
-    few = lambda df: F.broadcast(df) if df.count() <= 200_000 else df
     h1, h2 = two_hashes(F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     named = F.col("doc_id").isNotNull() | F.col("text").isNotNull()
     same = named & (h1 == F.col(one)) & (h2 == F.col(two)) & F.col("doc_id").eqNullSafe(F.col(own))
-    kept = docs.join(few(gone), same, "left_anti")
+    kept = docs.join(_few(gone), same, "left_anti")
     if not again.limit(1).count():
         return kept
-    repeated = kept.join(few(again), same).dropDuplicates([own, one, two]).select(*docs.columns)
-    return kept.join(few(again), same, "left_anti").unionByName(repeated)
+    repeated = kept.join(_few(again), same).dropDuplicates([own, one, two]).select(*docs.columns)
+    return kept.join(_few(again), same, "left_anti").unionByName(repeated)

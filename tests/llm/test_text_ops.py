@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glyphtide.llm import decontaminate, lines, minhash, pii, toxicity
 
@@ -67,6 +68,55 @@ def test_added_spans_never_clash():
             assert all(e <= bs or be <= s for bs, _, be in base)
 
 
+def every_segmentation(n, spans):
+    """All ways to cover tokens 0 to n with single outside tokens and candidate spans."""
+    if not n:
+        yield []
+        return
+    for rest in every_segmentation(n - 1, spans):
+        yield rest
+    for i, j in spans:
+        if j == n:
+            for rest in every_segmentation(i, spans):
+                yield [*rest, (i, j)]
+
+
+@pytest.mark.parametrize("taken", [[], [(6, 14)], [(0, 3), (9, 11)]])
+def test_decoding_is_the_best_of_all_segmentations(taken):
+    model = pii.trained()
+    for text in ("call +49 30 1234567 x", "a.b@c.d 1.2.3.4", "tel (743) 555-3824", "id 4111-1111"):
+        at, spans = model.lattice(text, 0, len(text), taken)
+        assert all(at[j] <= s or e <= at[i] for i, j in spans for s, e in taken)
+        score = model.scores(len(at) - 1, spans)
+        best = max(sum(score[s].max() for s in way) for way in every_segmentation(len(at) - 1, spans))
+        index = {p: k for k, p in enumerate(at)}
+        found = model.decode(text, 0, len(text), taken)
+        assert abs(sum(score[index[s], index[e]][k] for s, k, e in found) - best) < 1e-9
+        assert all(found[k][2] <= found[k + 1][0] for k in range(len(found) - 1))
+
+
+def test_the_field_decodes_what_base_spans_leave():
+    model = pii.trained()
+    base, every = pii.find_spans("mail a.b@c.example.com/(743) 555-3824 now", model)
+    assert [k for _, k, _ in base] == [0] and {k for _, k, _ in every} == {0, 3}
+
+
+def test_spans_of_a_very_long_text_take_linear_time():
+    import time
+
+    model = pii.trained()
+    for unit in ("a.b7@c.example.com ", "call (743) 555-3824, ", "1.2.3.4 "):
+        took = []
+        for n in (5_000, 40_000):
+            began = time.process_time()
+            base, every = pii.find_spans(unit * n, model)
+            took.append(time.process_time() - began)
+            assert len(every) >= n
+        assert took[1] < 16 * took[0] + 1
+    base, every = pii.find_spans("a@b.co " * 100_000, model)
+    assert len(base) == 100_000
+
+
 def test_pii_of_awkward_rows(spark):
     frame = docs(spark)
     got = pii.find_pii(frame).collect()
@@ -111,11 +161,41 @@ def test_toxicity_learns_and_forgives_groups(spark):
 
 def test_counterfactual_penalty_ties_terms():
     rows, y = [[0, 2], [0], [2], [1], [1], [0, 2]], [1, 1, 0, 0, 0, 1]
-    free = toxicity.train(rows, y, [], 3)
-    tied = toxicity.train(rows, y, [([0], [1])], 3, counterfactual=50.0)
+    free = toxicity.train(rows, y, {}, 3)
+    tied = toxicity.train(rows, y, {((0,), (1,)): 1}, 3, counterfactual=50.0)
     assert abs(tied[0] - tied[1]) < 0.05 * abs(free[0] - free[1])
 
 
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    rows = [sorted(set(rng.integers(0, 8, 4).tolist())) for _ in range(40)]
+    y = rng.integers(0, 2, 40).tolist()
+    swaps = {((0,), (1,)): 3, ((2, 3), (4,)): 1, ((), (5,)): 2, ((), ()): 7}
+    at = toxicity.objective(rows, y, swaps, 8, l2=0.01, counterfactual=3.0)
+    w = rng.standard_normal(9)
+    loss, g = at(w)
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-6
+        assert abs((at(w + step)[0] - at(w - step)[0]) / 2e-6 - g[k]) < 1e-6
+    # By hand: the penalty is the mean squared change of the log-odds, over every sentence.
+    plain = toxicity.objective(rows, y, {}, 8, l2=0.01)(w)[0]
+    change = [w[0] - w[1]] * 3 + [w[2] + w[3] - w[4]] + [-w[5]] * 2 + [0.0] * 7
+    assert abs(loss - plain - 3.0 * np.mean(np.square(change))) < 1e-9
+
+
+def test_every_identity_sentence_of_a_text_is_swapped():
+    text = " ".join(f"Some {a} and {b} met word{k}." for k, (a, b) in enumerate([("women", "gay"), ("men", "jews"), ("black", "muslim")] * 9))
+    index = {f: k for k, f in enumerate(sorted({f for g in toxicity.IDENTITY_GROUPS for t in g for f in toxicity.features_of({t})} | {"=met"}))}
+    got = toxicity.indexed_swaps(text, index)
+    assert sum(got.values()) == 27 and set(got.values()) == {9}
+    after = {t: g[(k + 1) % len(g)] for g in toxicity.IDENTITY_GROUPS for k, t in enumerate(g)}
+    for sentence in text.lower().split("."):
+        words = set(sentence.split())
+        if words & after.keys():
+            a, b = ({index[f] for f in toxicity.features_of(side) if f in index} for side in (words, {after.get(w, w) for w in words}))
+            assert (tuple(sorted(a - b)), tuple(sorted(b - a))) in got
+
+
 def test_held_out_rows_are_never_read(spark):
     import zlib
 
@@ -203,8 +283,52 @@ def test_near_duplicates_of_awkward_rows(spark):
     kept = minhash.distinct_documents(frame)
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 8, 9, 11, 12, 13, None, 15, 16]))
-    with pytest.raises(ValueError, match="several texts"):
-        minhash.distinct_documents(docs(spark, [(1, "a b c"), (2, "a b c"), (2, "d e f")]))
+    kept = minhash.distinct_documents(docs(spark, [(1, "a b c"), (2, "a b c"), (2, "d e f")])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c"), (2, "d e f")]
+    with pytest.raises(ValueError, match="integer"):
+        minhash.near_duplicates(frame.withColumn("doc_id", F.lit("x")))
+
+
+def crowd_rows():
+    """Pairs, triples and lone texts that share most of their words with hundreds of others."""
+    rows, shared = [], prose(800, 170).split()
+    for g in range(70):
+        own = prose(810 + g, 30 + g % 25).split()
+        for k in range(1 + g % 3):
+            changed = list(own)
+            if k:
+                changed[5 * k] = f"edit{g}x{k}"
+            cut = 3 * (g % 4)
+            rows.append((len(rows), " ".join([*shared[cut:], *changed])))
+    return rows
+
+
+@pytest.mark.parametrize("full", [2, 16])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, full):
+    rows = crowd_rows()
+    want = brute_classes(rows)
+    monkeypatch.setattr(minhash, "FULL", full)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_prefixes_hold_a_shared_shingle_of_similar_texts(spark):
+    rows = [(i, t) for i, t in crowd_rows() if i % 2] + near_rows()[:60]
+    idf = np.linspace(1, 6, minhash.COUNTERS).astype(np.float32)
+    sampler = minhash.Sampler(idf)
+    texts = spark.createDataFrame([(i, True, t) for i, t in rows], "rep long, open boolean, text string").distinct()
+    held: dict = {}
+    for r in minhash._prefixes(texts, spark.sparkContext.broadcast(idf), 0.8).collect():
+        held.setdefault(r.rep, {})[r.shingle] = r
+    sets = {i: minhash.shingles(t) for i, t in rows}
+    near = 0
+    for a, b in combinations(held, 2):
+        if sampler.similarity(sets[a], sets[b]) >= 0.8:
+            near += 1
+            light, heavy = sorted((a, b), key=lambda i: next(iter(held[i].values())).weight)
+            assert any(r.short and g in held[heavy] for g, r in held[light].items())
+    assert near > 20
 
 
 def test_rows_without_or_with_a_shared_id_are_told_by_their_text(spark):
