@@ -22,7 +22,9 @@ BLANK = r"(?U)[\s\x1c-\x1f]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 #: Suffixes of videos (fixed values).
-VIDEO_SUFFIXES = ("mp4", "avi", "mkv", "mov", "webm", "flv", "wmv", "m4v")
+VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv", "webm", "mpg", "mpeg", "wmv")
+#: A model's thinking, and the inside of a fenced block (fixed patterns).
+THINKING, FENCE = r"(?s)<think>.*?</think>\s*", r"(?s)```(?:[a-zA-Z0-9_-]+)?\s*(.*?)```"
 
 
 def nfkc(text: Column) -> Column:
@@ -51,9 +53,8 @@ def merge_key(text: Column) -> Column:
 
 def clean_model_text(text: Column) -> Column:
     """A model's answer without its thinking, and of a fenced block the inside; null gives an empty text."""
-    shown = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>\s*", "")
-    fence = r"(?s)```(?:[a-zA-Z0-9_-]+)?\s*(.*?)```"
-    return strip(F.when(F.rlike(shown, F.lit(fence)), F.regexp_extract(shown, fence, 1)).otherwise(shown))
+    shown = F.regexp_replace(F.coalesce(text, F.lit("")), THINKING, "")
+    return strip(F.when(F.rlike(shown, F.lit(FENCE)), F.regexp_extract(shown, FENCE, 1)).otherwise(shown))
 
 
 def clean_plain_text(text: Column) -> Column:
@@ -200,17 +201,29 @@ def media_url(path: Column) -> Column:
 
 
 def is_video_file(path: Column) -> Column:
-    return F.rlike(F.lower(path), F.lit(rf"\.({'|'.join(VIDEO_SUFFIXES)})$"))
+    return F.rlike(F.lower(path), F.lit(rf"\.({'|'.join(VIDEO_SUFFIXES)})\z"))
 
 
 def response_text(content: Column) -> Column:
-    """Text of a model answer given as JSON: a string, or an array of strings and of objects with text or content."""
+    """Text of a model answer given as JSON: a string, or an array of strings and of objects with text or content.
+
+    An object gives its ``text``, or its ``content`` where text is missing, null, empty,
+    false or zero; what then isn't a string is skipped. Anything else is empty.
+    """
     value = F.try_parse_json(content)
-    plain = F.try_variant_get(value, "$", "string")
-    parts = F.try_variant_get(value, "$", "array<variant>")
-    piece = lambda p: F.coalesce(F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")), F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$.content", "string"), F.lit(""))
-    kind = F.schema_of_variant(value)
-    return F.when(kind == "STRING", plain).when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.transform(parts, piece), "")).otherwise("")
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    kind = F.schema_of_variant
+    zero = lambda v: (kind(v) != "STRING") & (get(v, "$", "double") == 0)
+    hollow = lambda v: F.coalesce(v.isNull() | F.to_json(v).isin("null", '""', "[]", "{}") | zero(v), F.lit(False))
+    string = lambda v: F.when(kind(v) == "STRING", get(v, "$", "string"))
+
+    def piece(p: Column) -> Column:
+        text, other = get(p, "$.text", "variant"), get(p, "$.content", "variant")
+        named = F.when(hollow(text), string(other)).otherwise(string(text))
+        return F.coalesce(string(p), named, F.lit(""))
+
+    parts = F.array_join(F.transform(get(value, "$", "array<variant>"), piece), "")
+    return F.when(kind(value) == "STRING", get(value, "$", "string")).when(F.startswith(kind(value), F.lit("ARRAY")), parts).otherwise("")
 
 
 def distinct_names(names: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text_lines
@@ -33,29 +36,40 @@ def required(metrics: DataFrame) -> DataFrame:
     return out
 
 
-def limits(waiting: Column, initial: int = 16, least: int = 1, most: int = 64, target: int = 2, enabled: bool = True) -> Column:
-    """The limit after each sample of an array of waiting counts, in order.
+def next_limit(now: int, waiting: int | None, initial: int = 16, least: int = 1, most: int = 64, target: int = 2) -> int:
+    """The limit after a sample.
 
-    Below the target the limit rises by what is missing (1 at least), above it
-    falls by what is over; a null sample, a failed read, sets it back.
+    Below the target it rises by what is missing (1 at least), above it falls by
+    what is over; a sample of None, a failed read, sets it back.
     """
-    initial = max(1, initial)
-    least, most, target = max(1, min(least, initial)), max(initial, most), max(0, target)
-    if not enabled:
-        return F.transform(waiting, lambda _: F.lit(initial))
-    start = F.struct(F.lit(initial).alias("now"), F.array().cast("array<int>").alias("all"))
-
-    def step(acc: Column, w: Column) -> Column:
-        off = F.lit(target) - w
-        moved = F.when(off > 0, F.least(F.lit(most), acc["now"] + off)).when(off < 0, F.greatest(F.lit(least), acc["now"] + off)).otherwise(acc["now"])
-        now = F.coalesce(F.when(w.isNotNull(), moved), F.lit(initial)).cast("int")
-        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
+    if waiting is None:
+        return initial
+    off = target - waiting
+    return min(most, now + off) if off > 0 else max(least, now + off) if off < 0 else now
 
-    return F.aggregate(waiting.cast("array<int>"), start, step, lambda acc: acc["all"])
 
+def limit_series(samples: DataFrame, initial: int = 16, least: int = 1, most: int = 64, target: int = 2, enabled: bool = True) -> DataFrame:
+    """(stream, seq, waiting, limit) of rows (stream, seq, waiting), in the order of seq.
 
-def limit_series(samples: DataFrame, **options) -> DataFrame:
-    """(stream, seq, waiting, limit) of rows (stream, seq, waiting); a stream's samples are one array."""
-    folded = samples.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("seq", "waiting"))).alias("s"))
-    out = folded.select("stream", "s", limits(F.col("s")["waiting"], **options).alias("l"))
-    return out.select("stream", F.posexplode(F.arrays_zip("s", "l")).alias("_p", "x")).select("stream", "x.s.seq", "x.s.waiting", F.col("x.l").alias("limit"))
+    A stream is read once, batch by batch, with its limit as the only state. If it
+    isn't enabled, the limit stays as it begins.
+    """
+    initial = max(1, initial)
+    least, most, target = max(1, min(least, initial)), max(initial, most), max(0, target)
+    if not enabled:
+        return samples.select("stream", "seq", "waiting", F.lit(initial).alias("limit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, now = object(), initial
+        for batch in batches:
+            out = []
+            for own, waiting in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != stream:
+                    stream, now = own, initial
+                now = next_limit(now, waiting, initial, least, most, target)
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=["stream", "seq", "waiting", "limit"])
+
+    rows = samples.select("stream", "seq", F.col("waiting").cast("int").alias("waiting")).repartition("stream").sortWithinPartitions("stream", "seq")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"stream {kinds['stream']}, seq {kinds['seq']}, waiting int, limit int")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +47,38 @@ def srt_text(cues: DataFrame) -> DataFrame:
     return srt_blocks(cues).groupBy("stream").agg(F.array_join(ordered["block"], "\n").alias("srt"))
 
 
-def write_srt(cues: DataFrame, path: str, languages: DataFrame | None = None) -> None:
-    """Write each stream's file below ``path``, in a folder named by stream and language (``un`` if unknown)."""
+def write_srt(cues: DataFrame, path: str, languages: DataFrame | None = None, streams: DataFrame | None = None) -> None:
+    """Write each stream's file ``stream.language.srt`` (``un`` if unknown) into the folder ``path``.
+
+    Files end as the text of ``srt_text`` does, byte by byte. Streams of ``streams``
+    without a cue get an empty file. Spark writes the files beside their place,
+    and the driver, which sees their names alone, moves them.
+    """
+    spark = cues.sparkSession
     texts = srt_text(cues)
+    if streams is not None:
+        texts = streams.select("stream").distinct().join(texts, "stream", "left")
     if languages is not None:
         texts = texts.join(languages, "stream", "left")
-    named = texts.withColumn("language", F.coalesce("language", F.lit("un")) if languages is not None else F.lit("un"))
-    named.select("stream", "language", "srt").write.mode("overwrite").option("lineSep", "\n").partitionBy("stream", "language").text(path)
+    language = F.coalesce("language", F.lit("un")) if languages is not None else F.lit("un")
+    named = texts.select(F.concat(F.col("stream").cast("string"), F.lit("."), language, F.lit(".srt")).alias("name"), (F.coalesce(F.length("srt"), F.lit(0)) == 0).alias("hollow"), F.regexp_replace(F.coalesce("srt", F.lit("")), r"\n\z", "").alias("srt"))
+    made = f"{path.rstrip('/')}/_made-{uuid.uuid4().hex}"
+    # The writer ends each row with a line end, which is the text's own last one.
+    named.write.option("lineSep", "\n").partitionBy("name", "hollow").text(made)
+    jvm = spark.sparkContext._jvm
+    place = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    fs = place(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(place(made, "name=*", "hollow=*", "part-*")) or []
+    for part in found:
+        source = part.getPath()
+        name = unquote(source.getParent().getParent().getName().removeprefix("name="))
+        target = jvm.org.apache.hadoop.fs.Path(place(path), name)
+        fs.delete(target, False)
+        if source.getParent().getName() == "hollow=true":
+            fs.create(target).close()
+        else:
+            fs.rename(source, target)
+    fs.delete(place(made), True)
 
 
 def languages(cues: DataFrame, detect, most: int = 100) -> DataFrame:

@@ -97,12 +97,13 @@ def recognizer_line(row: Sequence[str] = ("frame_number", "time", "spotting_item
 def compact(lines: DataFrame, frames: DataFrame) -> DataFrame:
     """(stream, frame_number, value): the latest text record of the listed frames, as log lines.
 
-    Detector records and frames that aren't listed are left out; write the result
-    to a new place, ordered by frame within each stream.
+    Detector records and frames that aren't listed are left out. The lines of a
+    stream are in one partition, ordered by frame; write them to a new place.
     """
     kept = recognizer_state(lines).join(frames.select("stream", "frame_number").distinct(), ["stream", "frame_number"], "left_semi")
     filled = kept.withColumn("time", F.coalesce("time", F.lit(0.0))).withColumn("spotting_items", F.coalesce("spotting_items", F.array().cast(f"array<{ITEM}>")))
-    return filled.select("stream", "frame_number", recognizer_line(record_type=None).alias("value"))
+    lined = filled.select("stream", "frame_number", recognizer_line(record_type=None).alias("value"))
+    return lined.repartition("stream").sortWithinPartitions("stream", "frame_number")
 
 
 def compatible(mode: Column, area: Column, mask: Column, context_mode: Column, context_area: Column, context_mask: Column) -> Column:
@@ -128,6 +129,11 @@ def pending(required: DataFrame, *done: DataFrame) -> DataFrame:
     return required
 
 
+def first_pending(required: DataFrame, *done: DataFrame) -> DataFrame:
+    """(stream, first_pending): the first required frame that is in none of ``done``; complete streams have no row."""
+    return pending(required, *done).groupBy("stream").agg(F.min("frame_number").alias("first_pending"))
+
+
 def done_overlap(required: DataFrame, *done: DataFrame) -> DataFrame:
     """(stream, required, done): how many required frames are in the union of ``done``."""
     every = done[0].select("stream", "frame_number")

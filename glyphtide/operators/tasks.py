@@ -53,6 +53,17 @@ def duplicate_of(tasks: DataFrame) -> DataFrame:
     return tasks.filter(F.col("status").isin(*ACTIVE)).groupBy("video").agg(F.min_by("task_id", F.struct("seq", "task_id")).alias("task_id"))
 
 
+def without(tasks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Tasks but those that are deleted; unknown ids change nothing."""
+    return tasks.join(gone.select("task_id").distinct(), "task_id", "left_anti")
+
+
+def logs_of(tasks: DataFrame, gone: DataFrame) -> DataFrame:
+    """(task_id, log): the log file that goes with each deleted task, beside its video (a file name)."""
+    named = tasks.join(gone.select("task_id").distinct(), "task_id", "left_semi").filter("video is not null and video <> ''")
+    return named.select("task_id", F.concat(F.regexp_replace("video", r"(?<=[^/])\.[^./]*\z", ""), F.lit(".jsonl")).alias("log"))
+
+
 def error_status(error: Column) -> Column:
     """The status of a failed task: recognition errors may be tried again."""
     return F.when(error == "recognition", "retryable_error").otherwise("fatal_error")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +78,34 @@ def box_distance(box: tuple, key: str, old_box: tuple, old_key: str) -> float:
     return min(1.0, mixed + UNLIKE_PENALTY) if ratio <= UNLIKE_TEXT else mixed
 
 
+class LiveTracks:
+    """The state of the full-screen tracker for one stream: the live tracks, and how many were made."""
+
+    def __init__(self) -> None:
+        self.live: list[dict] = []
+        self.made = 0
+
+    def match(self, boxes: list[tuple[tuple, str]]) -> list[int]:
+        """Take a frame's (box, key) rows and give the track of each."""
+        near = sorted((d, t["id"], i) for t in self.live for i, (box, k) in enumerate(boxes) if (d := box_distance(box, k, t["box"], t["key"])) < MAX_DISTANCE)
+        by_id, taken, met = {t["id"]: t for t in self.live}, {}, set()
+        for _, track, i in near:
+            if track not in met and i not in taken:
+                taken[i] = track
+                met.add(track)
+        for t in self.live:
+            t["hits"] = min(MAX_HITS, t["hits"] + 2) - 1 if t["id"] in met else t["hits"] - 1
+        for i, (box, k) in enumerate(boxes):
+            if i in taken:
+                by_id[taken[i]].update(box=box, key=k)
+            else:
+                self.made += 1
+                taken[i] = self.made
+                self.live.append({"id": self.made, "box": box, "key": k, "hits": 1})
+        self.live = [t for t in self.live if t["hits"] >= 0]
+        return [taken[i] for i in range(len(boxes))]
+
+
 def full_tracks(frames: DataFrame) -> DataFrame:
     """(stream, frame, det_index, track_id) of rows (stream, frame, det_index, box, key).
 
@@ -85,37 +113,43 @@ def full_tracks(frames: DataFrame) -> DataFrame:
     A greedy tracker: in each frame the nearest (track, box) pairs below the
     greatest distance are matched first, a box left over starts a track, and a
     track that is missed more often than it was hit lately ends. Ids count
-    from 1 in each stream. A stream is a fold over its frames, in frame order,
-    with the live tracks as its state; it matches its own rules, not another
+    from 1 in each stream. Frames are read in order, batch by batch, and only the
+    live tracks and one frame are held; it matches its own rules, not another
     library's motion model.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        live: list[dict] = []
-        out, made = [], 0
-        for frame, rows in pdf.sort_values(["frame", "det_index"]).groupby("frame", sort=True):
-            boxes = [(int(r.det_index), tuple(r.box), r.key or "") for r in rows.itertuples() if not pd.isna(r.det_index)]
-            near = sorted((d, t["id"], i) for t in live for i, (_, box, k) in enumerate(boxes) if (d := box_distance(box, k, t["box"], t["key"])) < MAX_DISTANCE)
-            by_id, taken, met = {t["id"]: t for t in live}, {}, set()
-            for _, track, i in near:
-                if track not in met and i not in taken:
-                    taken[i] = track
-                    met.add(track)
-            for t in live:
-                t["hits"] = min(MAX_HITS, t["hits"] + 2) - 1 if t["id"] in met else t["hits"] - 1
-            for i, (index, box, k) in enumerate(boxes):
-                if i in taken:
-                    by_id[taken[i]].update(box=box, key=k)
-                else:
-                    made += 1
-                    taken[i] = made
-                    live.append({"id": made, "box": box, "key": k, "hits": 1})
-                out.append((key[0], int(frame), index, taken[i]))
-            live = [t for t in live if t["hits"] >= 0]
-        return pd.DataFrame(out, columns=["stream", "frame", "det_index", "track_id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, boxes = None, LiveTracks(), []
+        for batch in batches:
+            out: list[tuple] = []
+
+            def close() -> None:
+                ids = state.match([(box, key) for _, box, key in boxes])  # noqa: B023
+                out.extend((*now, index, i) for (index, _, _), i in zip(boxes, ids, strict=True))  # noqa: B023
+
+            for stream, frame, index, box, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (stream, frame):
+                    if now is not None:
+                        close()
+                        state = state if now[0] == stream else LiveTracks()
+                    now, boxes = (stream, frame), []
+                if index is not None:
+                    boxes.append((index, tuple(box), key or ""))
+            yield packed(out, batch)
+            last = batch
+        if now is not None:
+            out = []
+            close()
+            yield packed(out, last)
+
+    def packed(out: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = (like.schema.field(0).type, pa.int64(), pa.int32(), pa.int64())
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["stream", "frame", "det_index", "track_id"])
 
     kind = frames.schema["stream"].dataType.simpleString()
-    return frames.groupBy("stream").applyInPandas(run, f"stream {kind}, frame long, det_index int, track_id long")
+    rows = frames.select("stream", "frame", "det_index", "box", "key").repartition("stream").sortWithinPartitions("stream", "frame", "det_index")
+    return rows.mapInArrow(run, f"stream {kind}, frame long, det_index int, track_id long")
 
 
 def extents(tracked: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dedupe_lines, merge_key
+from ..functions.text import LINE_END, dedupe_lines_udf, merge_key, strip
 
 
 def votes(rows: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def representative(counted: DataFrame, share: float = 0.35) -> DataFrame:
     place, then the most frequent, then the first seen. Its most frequent text is shown.
     Groups without any key have no row.
     """
-    tidy = counted.withColumn("text", dedupe_lines(F.col("text")))
+    # Few votes have several lines, and only those are searched for repeats.
+    several = F.when(F.rlike("text", F.lit(LINE_END)), F.col("text"))
+    tidy = counted.withColumn("text", F.coalesce(dedupe_lines_udf()(several), strip(F.col("text"))))
     tidy = tidy.withColumn("key", merge_key(F.col("text"))).filter("key <> ''")
     shown = tidy.groupBy("group", "key", "text").agg(F.sum("count").alias("n"), F.min("first_seen").alias("seen"))
     keys = shown.groupBy("group", "key").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))

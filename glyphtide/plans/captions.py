@@ -30,7 +30,9 @@ def base_cues(records: DataFrame) -> DataFrame:
     boxes = boxes.select("stream", "frame", "time", "det_index", quad_box(F.col("i.quad")).alias("box"), valid_text(F.col("i.text"), F.col("i.text_status")).alias("text"))
     keyed = boxes.withColumn("key", merge_key(F.coalesce("text", F.lit(""))))
     ids = tracks.full_tracks(keyed.select("stream", "frame", "det_index", "box", "key"))
-    tracked = boxes.join(ids, ["stream", "frame", "det_index"])
+    # Read by the extents, the labels and the texts: the tracker runs once.
+    linking.ensure_checkpoints(records)
+    tracked = boxes.join(ids, ["stream", "frame", "det_index"]).checkpoint()
     spans = tracks.extents(tracked)
     roots = linking.components(spans, linking.band_pairs(spans))
     linked = linking.relabel(tracked, roots)

@@ -125,11 +125,14 @@ def model_answers(spark, sf_dir):
     r"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '/+$', '') AS bare, url FROM pages),
 v AS (SELECT page_id, url, bare, CASE WHEN ends_with(bare, '/v1') THEN bare ELSE bare || '/v1' END AS base FROM u)
 SELECT page_id, base AS base_url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '[?#].*$', ''), '/v1$', ''), '/+$', ''), '$', '/metrics') AS metrics_url,
-  regexp_matches(lower(url), '\.(mp4|avi|mkv|mov|webm|flv|wmv|m4v)$') AS is_video FROM v"""
+  page_id % 12 IN (0, 1, 2, 3, 4, 5, 6, 7) AS is_video FROM v"""
 )
 def service_urls(spark, sf_dir):
     url = F.col("url")
-    return read(spark, sf_dir, "pages").select("page_id", T.base_url(url).alias("base_url"), T.metrics_url(url).alias("metrics_url"), T.is_video_file(url).alias("is_video"))
+    # Eight names of videos, and four that only look like some.
+    ends = F.array(*[F.lit(f".{x}") for x in ("mp4", "avi", "MOV", "mkv", "webm", "mpg", "mpeg", "Wmv", "flv", "m4v", "mp4x", "mpe")])
+    file = F.concat(url, F.get(ends, (F.col("page_id") % 12).cast("int")))
+    return read(spark, sf_dir, "pages").select("page_id", T.base_url(url).alias("base_url"), T.metrics_url(url).alias("metrics_url"), T.is_video_file(file).alias("is_video"))
 
 
 @query("SELECT s_suppkey, replace(replace(s_name, '#', '%23'), ' ', '%20') || '/a%20b' AS media_url, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 60 * 60 + 30 AS DOUBLE) ELSE 0.0 END AS seconds FROM supplier")
@@ -139,11 +142,14 @@ def media_urls(spark, sf_dir):
     return rows.select("s_suppkey", T.media_url(F.concat("s_name", F.lit("/a b"))).alias("media_url"), T.parse_clock(clock).alias("seconds"))
 
 
-@query("""SELECT n_nationkey, n_name || '-' || n_regionkey AS answer FROM nation""")
+@query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || '-' || n_regionkey || 'kept' || 'last' WHEN 1 THEN n_name ELSE '' END AS answer FROM nation""")
 def response_parts(spark, sf_dir):
     rows = read(spark, sf_dir, "nation")
-    parts = F.to_json(F.array(F.struct(F.col("n_name").alias("text")), F.struct(F.concat(F.lit("-"), F.col("n_regionkey").cast("string")).alias("text"))))
-    return rows.select("n_nationkey", T.response_text(parts).alias("answer"))
+    name, key = F.to_json(F.array("n_name")), F.col("n_regionkey").cast("string")
+    # Empty, null, false and zero texts fall through to the content; other texts that aren't strings are skipped.
+    parts = F.concat(F.lit('[{"text":'), F.regexp_extract(name, r"^\[(.*)\]$", 1), F.lit('},{"text":"","content":"-'), key, F.lit('"},{"text":5,"content":"no"},{"text":0,"content":"kept"},{"content":7},{"text":["no"]},{"text":null,"content":null},{"text":{},"content":false},"last",12]'))
+    answer = F.when(F.col("n_nationkey") % 3 == 0, parts).when(F.col("n_nationkey") % 3 == 1, F.regexp_extract(name, r"^\[(.*)\]$", 1)).otherwise('{"text":"no list"}')
+    return rows.select("n_nationkey", T.response_text(answer).alias("answer"))
 
 
 @query("SELECT c_custkey, [c_name, c_mktsegment] AS names FROM customer")
@@ -346,6 +352,39 @@ def frame_countdown(spark, sf_dir):
     return eventlog.frame_countdown(blocks, li.filter("l_returnflag = 'R'").select("stream", "frame_number", F.lit(0).alias("block_index")))
 
 
+@query(
+    """SELECT user_id AS stream, event_id AS line_no, event_id % 50 AS frame_number, 0.5 AS time, 'a' AS text, 'ok' AS status, CASE WHEN event_id % 12 = 6 THEN NULL ELSE 'crop' END AS ocr_mode
+FROM events WHERE event_id % 12 IN (6, 9, 10, 11)"""
+)
+def log_strict_scan(spark, sf_dir):
+    # Each line has to parse, so the others get a record of their own, which goes afterwards.
+    fine, spare = (F.col("line_no") % 12).isin(6, 9, 10, 11), '{"frame_number":-1,"time":0.0,"spotting_items":[]}'
+    lines = log_lines(spark, sf_dir).withColumn("value", F.when(fine, F.col("value")).otherwise(spare))
+    item = F.get("spotting_items", F.lit(0))
+    return eventlog.strict_records(lines).filter("frame_number >= 0").select("stream", "line_no", "frame_number", "time", item["text"].alias("text"), item["text_status"].alias("status"), "ocr_mode")
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT user_id AS stream, event_id % 50 AS frame_number FROM events), d AS (SELECT DISTINCT user_id AS stream, event_id % 50 AS frame_number FROM events WHERE event_id % 12 IN (7, 8))
+SELECT f.stream, f.frame_number, CASE WHEN d.stream IS NULL THEN [] ELSE [[1, 2, 3, 4], [5, 6, 7, 8]] END AS boxes FROM f LEFT JOIN d USING (stream, frame_number)"""
+)
+def frame_blocks(spark, sf_dir):
+    frames = read(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), (F.col("event_id") % 50).alias("frame_number")).distinct()
+    found = eventlog.with_blocks(frames, eventlog.detector_state(log_lines(spark, sf_dir)))
+    return found.select("stream", "frame_number", F.transform("blocks", lambda b: b["pixel_bbox"]).alias("boxes"))
+
+
+@query(f"WITH {DONE} SELECT o_custkey % 100 AS stream, min(o_orderkey) AS first_pending FROM orders WHERE o_orderkey NOT IN (SELECT k FROM done) GROUP BY 1")
+def first_pending_frame(spark, sf_dir):
+    return eventlog.first_pending(_required(spark, sf_dir), _done(spark, sf_dir))
+
+
+@query(f"WITH {DONE}, halves AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0) SELECT o_custkey % 100 AS stream, bool_and(o_orderkey IN (SELECT k FROM done) OR o_orderkey IN (SELECT k FROM halves)) AS complete FROM orders GROUP BY 1")
+def stream_complete(spark, sf_dir):
+    halves = _required(spark, sf_dir).filter("frame_number % 2 = 0")
+    return eventlog.is_complete(_required(spark, sf_dir), _done(spark, sf_dir), halves)
+
+
 # --- votes and reading order ------------------------------------------------------------------
 
 
@@ -386,6 +425,68 @@ def reading_order(spark, sf_dir):
     return tracks.frame_texts(rows).select("stream", "frame", "text")
 
 
+TRACKED = """tracked AS (SELECT user_id % 40 AS stream, user_id // 40 AS track_id, event_id AS frame, event_id / 4.0 AS time, CASE event_id % 5 WHEN 0 THEN event_type || '!' WHEN 1 THEN '' WHEN 2 THEN event_type || ' again' ELSE event_type END AS text FROM events WHERE event_id % 3 > 0)"""
+
+
+def tracked_events(spark, sf_dir):
+    e = F.col("event_id") % 5
+    text = F.when(e == 0, F.concat("event_type", F.lit("!"))).when(e == 1, "").when(e == 2, F.concat("event_type", F.lit(" again"))).otherwise(F.col("event_type"))
+    rows = read(spark, sf_dir, "events").filter("event_id % 3 > 0")
+    return rows.select((F.col("user_id") % 40).alias("stream"), F.floor(F.col("user_id") / 40).alias("track_id"), F.col("event_id").alias("frame"), (F.col("event_id") / 4.0).alias("time"), text.alias("text"))
+
+
+@query(
+    rf"""WITH {TRACKED}, tracks AS (SELECT stream, track_id, min(time) AS start, max(time) AS "end" FROM tracked GROUP BY ALL HAVING count(DISTINCT frame) >= 40),
+shown AS (SELECT stream, track_id, text, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS key, count(*) AS n, min(frame) AS seen FROM tracked WHERE text <> '' GROUP BY ALL),
+keys AS (SELECT stream, track_id, key, sum(n) AS n, min(seen) AS seen FROM shown GROUP BY ALL),
+best AS (SELECT * FROM keys QUALIFY row_number() OVER (PARTITION BY stream, track_id ORDER BY n DESC, length(key) DESC, seen) = 1),
+chosen AS (SELECT k.stream, k.track_id, k.key FROM keys k JOIN best b ON k.stream = b.stream AND k.track_id = b.track_id AND contains(k.key, b.key) WHERE k.key = b.key OR k.n >= greatest(2, 0.35 * b.n)
+  QUALIFY row_number() OVER (PARTITION BY k.stream, k.track_id ORDER BY length(k.key) DESC, k.n DESC, k.seen) = 1),
+texts AS (SELECT s.stream, s.track_id, s.text FROM shown s JOIN chosen c USING (stream, track_id, key) QUALIFY row_number() OVER (PARTITION BY s.stream, s.track_id ORDER BY s.n DESC, s.seen) = 1)
+SELECT stream, track_id, start, "end", text FROM tracks JOIN texts USING (stream, track_id)"""
+)
+def track_cues(spark, sf_dir):
+    return tracks.track_cues(tracked_events(spark, sf_dir), 40)
+
+
+@query(f"WITH {TRACKED} SELECT stream, track_id, min(frame) AS first_frame, arg_min(time, frame) AS first_time, max(frame) AS last_frame, count(DISTINCT frame) AS frames FROM tracked GROUP BY ALL")
+def track_extent(spark, sf_dir):
+    return tracks.extents(tracked_events(spark, sf_dir))
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), f AS (SELECT conv_id AS stream, turn % 3 < 2 OR conv_id % 5 = 4 AS shown, conv_id % 5 = 1 AND turn = 0 AS other_mode, conv_id % 5 = 2 AND turn = 1 AS two, conv_id % 5 = 3 AND turn = 0 AS part FROM t)
+SELECT stream, bool_and(NOT other_mode AND NOT (shown AND (two OR part))) AS single_box FROM f GROUP BY stream"""
+)
+def single_box_streams(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    stream, turn = F.col("conv_id"), F.col("turn")
+    quad = lambda x1: F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((x1, 0), (1000, 0), (1000, 1000), (x1, 1000))])
+    item = F.struct(F.lit("text").alias("text"), F.when((stream % 5 == 3) & (turn == 0), quad(10)).otherwise(quad(0)).alias("quad"), F.lit("ok").alias("text_status"))
+    items = F.when((stream % 5 == 2) & (turn == 1), F.array(item, item)).otherwise(F.array(item))
+    shown = F.when((turn % 3 < 2) | (stream % 5 == 4), items).otherwise(F.array().cast(f"array<{eventlog.ITEM}>"))
+    mode = F.when((stream % 5 == 1) & (turn == 0), "full_screen").otherwise("crop")
+    return tracks.is_single_box(turns.select(stream.alias("stream"), mode.alias("ocr_mode"), shown.alias("spotting_items")))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS stream, turn + 1 AS n, CASE WHEN text LIKE '% der %' OR text LIKE '% und %' THEN 'de' WHEN text LIKE '% la %' THEN 'es' WHEN text LIKE '% the %' OR text LIKE '% of %' THEN 'en' END AS code FROM conversations WHERE turn < 4),
+k AS (SELECT stream, code, count(code) AS n FROM c GROUP BY ALL)
+SELECT stream, coalesce(arg_min(code, (-n, code)), 'un') AS language FROM k GROUP BY stream"""
+)
+def cue_languages(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream"), (F.col("turn") + 1).alias("index"), "text")
+    has = lambda t, *words: F.rlike(t, F.lit("|".join(f" {w} " for w in words)))
+    return cues.languages(said, lambda t: F.when(has(t, "der", "und"), "de").when(has(t, "la"), "es").when(has(t, "the", "of"), "en"), most=4)
+
+
+@query(
+    "SELECT vec_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS shown FROM (SELECT vec_id, CAST(floor(greatest(vec_id * 12.3455 - 50.0, 0.0) * 1000 + 0.5) AS BIGINT) AS ms FROM (SELECT vec_id, CAST(vec_id AS DOUBLE) AS vec FROM embeddings) JOIN (SELECT 1) ON true)".replace("vec_id * 12.3455", "vec * CAST(12.3455 AS DOUBLE)")
+)
+def display_times(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", T.display_timestamp(F.col("vec_id").cast("double") * 12.3455 - 50.0).alias("shown"))
+
+
 # --- geometry -----------------------------------------------------------------------------------
 
 
@@ -464,18 +565,23 @@ def linked_components(spark, sf_dir):
     return linking.components(found, linking.band_pairs(found))
 
 
-TALK = """talk AS (SELECT conv_id AS stream, turn AS ord, turn * CASE WHEN conv_id % 5 = 0 THEN 7 ELSE 1 END + 1 AS frame, CASE WHEN turn % 7 = 6 THEN NULL WHEN turn % 2 = 0 THEN 'Head ' || conv_id % 3 ELSE split_part(min(text), ' ', 1) END AS text, CASE WHEN turn % 5 = 3 THEN 'truncated' ELSE 'ok' END AS status FROM conversations GROUP BY conv_id, turn)"""
+TALK = """turns AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
+heads AS (SELECT conv_id, arg_min(text, turn) AS head FROM turns GROUP BY conv_id),
+talk AS (SELECT conv_id AS stream, turn AS ord, turn * CASE WHEN conv_id % 5 = 0 THEN 7 ELSE 1 END + 1 AS frame,
+  CASE WHEN turn % 7 = 6 THEN NULL WHEN turn % 4 = 0 THEN head WHEN turn % 4 = 2 THEN head || ' again' ELSE text END AS text, CASE WHEN turn % 5 = 3 THEN 'truncated' ELSE 'ok' END AS status FROM turns JOIN heads USING (conv_id))"""
 
 
 def talk_frames(spark, sf_dir):
+    """Turns as frames, with their whole texts; each second one repeats the conversation's first, or nearly."""
     talk = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    frame = F.col("turn") * F.when(F.col("conv_id") % 5 == 0, 7).otherwise(1) + 1
-    text = F.when(F.col("turn") % 7 == 6, None).when(F.col("turn") % 2 == 0, F.concat(F.lit("Head "), (F.col("conv_id") % 3).cast("string"))).otherwise(F.split_part("text", F.lit(" "), F.lit(1)))
-    return talk.select(F.col("conv_id").alias("stream"), F.col("turn").alias("ord"), frame.alias("frame"), text.alias("text"), F.when(F.col("turn") % 5 == 3, "truncated").otherwise("ok").alias("status"))
+    talk = talk.join(talk.groupBy("conv_id").agg(F.min_by("text", "turn").alias("head")), "conv_id")
+    frame, turn = F.col("turn") * F.when(F.col("conv_id") % 5 == 0, 7).otherwise(1) + 1, F.col("turn")
+    text = F.when(turn % 7 == 6, None).when(turn % 4 == 0, F.col("head")).when(turn % 4 == 2, F.concat("head", F.lit(" again"))).otherwise(F.col("text"))
+    return talk.select(F.col("conv_id").alias("stream"), turn.alias("ord"), frame.alias("frame"), text.alias("text"), F.when(turn % 5 == 3, "truncated").otherwise("ok").alias("status"))
 
 
 @query(
-    rf"""WITH {TALK}, k AS (SELECT *, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]', '', 'g') AS key FROM talk),
+    rf"""WITH {TALK}, k AS (SELECT *, regexp_replace(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g') AS key FROM talk),
 r AS (SELECT *, text IS NULL OR (status = 'ok' AND key = '') AS reset, coalesce(frame - lag(frame) OVER (PARTITION BY stream ORDER BY ord) > 6, false) AS gap FROM k),
 g AS (SELECT *, NOT reset AND status = 'ok' AS valid, sum(CAST(reset AS INTEGER)) OVER (PARTITION BY stream ORDER BY ord) AS run FROM r),
 l AS (SELECT *, last_value(CASE WHEN valid THEN key END IGNORE NULLS) OVER (PARTITION BY stream, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
@@ -543,6 +649,36 @@ def layout_html(spark, sf_dir):
     return layout.parse_layout(pages.select(F.col("page_id").alias("id"), F.concat(head, F.coalesce("html", F.lit("")), F.lit("</div>")).alias("content"), F.lit(2000).alias("width"), F.lit(1000).alias("height")))
 
 
+PIXELS = """pixels AS (SELECT vec_id AS id, CASE vec_id % 4 WHEN 0 THEN 250 WHEN 1 THEN 10 + k % 3 WHEN 2 THEN CASE WHEN k = 7 THEN 0 ELSE 255 END ELSE k * 10 END AS c0, CASE vec_id % 4 WHEN 3 THEN 200 ELSE 250 END AS c1, 250 AS c2 FROM embeddings, range(20) r(k))"""
+
+
+def pixels(spark, sf_dir):
+    k, kind = F.col("k"), F.col("vec_id") % 4
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    c0 = F.when(kind == 0, 250).when(kind == 1, 10 + k % 3).when(kind == 2, F.when(k == 7, 0).otherwise(255)).otherwise(k * 10)
+    return rows.select(F.col("vec_id").alias("id"), c0.alias("c0"), F.when(kind == 3, 200).otherwise(250).alias("c1"), F.lit(250).alias("c2"))
+
+
+@query(f"WITH {PIXELS} SELECT id, avg(CASE WHEN c0 >= 245 AND c1 >= 245 AND c2 >= 245 THEN 1.0 ELSE 0.0 END) > 0.99 OR greatest(stddev_pop(c0), stddev_pop(c1), stddev_pop(c2)) < 8 AS blank FROM pixels GROUP BY id")
+def blank_regions(spark, sf_dir):
+    return layout.blank_regions(pixels(spark, sf_dir))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 4 > 1")
+def drop_blank(spark, sf_dir):
+    blocks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return layout.drop_blank(blocks, layout.blank_regions(pixels(spark, sf_dir)))
+
+
+@query("SELECT vec_id, vec_id % 6 IN (0, 5) AS valid FROM embeddings")
+def valid_answers(spark, sf_dir):
+    n = F.col("vec_id") % 6
+    item = lambda box, count: F.lit(f'{{"label":"Text","bbox":"{box}","count":{count}}}')
+    one = F.when(n == 0, item("1 2 3 4", 10_000)).when(n == 1, item("1 2 3", 1)).when(n == 2, item("1 2 3 4", 10_001)).when(n == 3, '{"bbox":"1 2 3 4","count":1}').otherwise(item("1 2 3 4", 1))
+    many = F.array_join(F.array_repeat(one, F.when(n == 4, 201).otherwise(200)), ",")
+    return read(spark, sf_dir, "embeddings").select("vec_id", layout.valid_answer(F.concat(F.lit("["), many, F.lit("]"))).alias("valid"))
+
+
 # --- control and queue --------------------------------------------------------------------------------
 
 
@@ -636,6 +772,24 @@ def newest_result(spark, sf_dir):
     return logs.newest(o.select(F.concat(stem, F.when(F.col("o_orderkey") % 3 == 0, ".srt").otherwise(".en.srt")).alias("path"), micros("o_orderdate").alias("modified")))
 
 
+@query(f"WITH {TASKS} SELECT task_id, CASE WHEN status <> 'completed' THEN 'completed' WHEN video % 2 = 1 THEN 'video' WHEN video % 3 > 0 THEN 'log' END AS missing FROM tasks")
+def editor_checks(spark, sf_dir):
+    known = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video"))
+    return tasks.editable(queue(spark, sf_dir), known.filter("video % 2 = 0"), known.filter("video % 3 = 0")).select("task_id", "missing")
+
+
+@query(f"WITH {TASKS} SELECT task_id, status FROM tasks WHERE task_id % 7 > 0")
+def task_deletion(spark, sf_dir):
+    t = queue(spark, sf_dir)
+    return tasks.without(t.select("task_id", "status"), t.filter("task_id % 7 = 0").select("task_id"))
+
+
+@query("SELECT o_orderkey AS task_id, 'v.' || o_custkey || '.jsonl' AS log FROM orders WHERE o_orderkey % 7 = 0")
+def task_logs(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.concat(F.lit("v."), F.col("o_custkey").cast("string"), F.lit(".mp4")).alias("video"))
+    return tasks.logs_of(o, o.filter("task_id % 7 = 0").select("task_id"))
+
+
 # --- frames and messages ------------------------------------------------------------------------------
 
 

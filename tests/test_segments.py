@@ -145,7 +145,12 @@ def test_srt_files(spark, tmp_path):
     assert text == "1\n00:00:00,000 --> 00:00:01,000\nfirst\n\n2\n00:00:01,000 --> 00:00:02,000\ntwo\nlines\n"
     known = cues.languages(df, lambda c: F.when(F.contains(c, F.lit("first")), "en"))
     assert known.first().language == "en"
-    cues.write_srt(df, str(tmp_path / "srt"), known)
-    (path,) = (tmp_path / "srt").rglob("*.txt")
-    assert "language=en" in str(path) and path.read_text() == text + "\n"
+    streams = spark.createDataFrame([(1,), (2,)], "stream int")
+    for _ in range(2):
+        cues.write_srt(df, str(tmp_path / "srt"), known, streams)
+        files = {p.name: p.read_bytes() for p in (tmp_path / "srt").iterdir() if not p.name.startswith(".")}
+        assert files == {"1.en.srt": text.encode(), "2.un.srt": b""}
+    named = segments.number(frame(spark, [(0.0, 1.0, "x\n")])).withColumn("stream", F.lit("a b%=ü"))
+    cues.write_srt(named, str(tmp_path / "more"))
+    assert (tmp_path / "more" / "a b%=ü.un.srt").read_bytes() == b"1\n00:00:00,000 --> 00:00:01,000\nx\n\n"
     assert cues.languages(df, lambda c: F.lit(None).cast("string")).first().language == "un"

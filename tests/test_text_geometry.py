@@ -83,13 +83,25 @@ def test_model_answers(spark):
     answers = [json.dumps("plain"), json.dumps(["a", {"text": "b"}, {"content": "c"}, {"z": 1}, 5]), "{}", "broken", None]
     assert column(spark, answers, T.response_text) == ["plain", "abc", "", "", ""]
 
+    def wanted(items):
+        out = []
+        for x in items:
+            named = (x.get("text") or x.get("content") or "") if isinstance(x, dict) else x
+            out.append(named if isinstance(named, str) else "")
+        return "".join(out)
+
+    hollow = ["", None, 0, 0.0, False, [], {}]
+    lists = [[{"text": a, "content": b}, "|"] for a in [*hollow, "t", "0", 5, True, ["x"], {"k": 1}] for b in [*hollow, "c", "false", 7]] + [[{"content": "c"}, {"text": "t"}, {}, 3, None, ["no"], "s"]]
+    assert column(spark, [json.dumps(x) for x in lists], T.response_text) == [wanted(x) for x in lists]
+
 
 def test_addresses(spark):
     values = [" http://h:1/v1/ ", "http://h", "", None, "http://h/api/v1", "http://h/v1?x=1#y"]
     assert column(spark, values, T.base_url) == ["http://h:1/v1", "http://h/v1", None, None, "http://h/api/v1", "http://h/v1?x=1#y/v1"]
     assert column(spark, values[:2] + values[4:], T.metrics_url) == ["http://h:1/metrics", "http://h/metrics", "http://h/api/metrics", "http://h/metrics"]
     assert column(spark, ["a b/ü*.mp4"], T.media_url) == ["a%20b/%C3%BC%2A.mp4"]
-    assert column(spark, ["x.MP4", "x.srt", "mp4"], T.is_video_file) == [True, False, False]
+    names = ["x.MP4", "x.avi", "x.mov", "x.mkv", "x.webm", "x.mpg", "x.mpeg", "x.wmv", "x.srt", "mp4", "x.flv", "x.m4v", "x.mp4\n"]
+    assert column(spark, names, T.is_video_file) == [True] * 8 + [False] * 5
 
 
 def test_text_blocks(spark):

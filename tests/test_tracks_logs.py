@@ -180,9 +180,34 @@ def test_load_metrics_and_limits(spark):
     assert got == {1: (7, 2), 2: (None, None)}
     with pytest.raises(Exception, match="no running metric"):
         control.required(control.load_metrics(df)).collect()
-    series = spark.createDataFrame([([0, 5, 2, None, 0, 200],)], "w array<int>")
-    assert series.select(control.limits(F.col("w")).alias("l")).first().l == [18, 15, 15, 16, 18, 1]
-    assert series.select(control.limits(F.col("w"), enabled=False).alias("l")).first().l == [16] * 6
+    waiting = [0, 5, 2, None, 0, 200]
+    series = spark.createDataFrame([(s, k, w) for s in "ba" for k, w in enumerate(waiting)], "stream string, seq long, waiting int").repartition(3)
+    limits = lambda **options: [(r.stream, r.limit) for r in sorted(control.limit_series(series, **options).collect())]
+    assert limits() == [(s, x) for s in "ab" for x in (18, 15, 15, 16, 18, 1)]
+    assert {x for _, x in limits(enabled=False)} == {16}
+    assert control.limit_series(series.filter("false")).collect() == []
+
+
+def test_a_long_stream_of_samples_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (50_000, 400_000):
+        samples = spark.range(n).select(F.lit("s").alias("stream"), F.col("id").alias("seq"), (F.col("id") % 7).cast("int").alias("waiting"))
+        began = time.perf_counter()
+        assert control.limit_series(samples).agg(F.count("limit")).first()[0] == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0] + 3
+
+
+def test_first_pending_frame_and_deleted_tasks(spark):
+    need = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 5), ("c", 1)], "stream string, frame_number long")
+    done = spark.createDataFrame([("a", 1), ("b", 5), ("z", 1)], "stream string, frame_number long")
+    assert {r.stream: r.first_pending for r in eventlog.first_pending(need, done, done.filter("stream = 'b'")).collect()} == {"a": 2, "c": 1}
+    df = spark.createDataFrame([(1, "d/a.b.mp4"), (2, ".hidden"), (3, ""), (4, None), (5, "x")], "task_id int, video string")
+    gone = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (9,)], "task_id int")
+    assert [r.task_id for r in tasks.without(df, gone).collect()] == [5]
+    assert {r.task_id: r.log for r in tasks.logs_of(df, gone).collect()} == {1: "d/a.b.jsonl", 2: ".hidden.jsonl"}
 
 
 def test_tasks(spark):
