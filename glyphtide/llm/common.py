@@ -37,7 +37,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, root: str) -> None:
-    """Delete this application's scratch tables, if its JVM still runs."""
+    """Delete a folder of scratch tables, if the JVM still runs."""
     if spark.sparkContext._jsc is None:
         return
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -56,9 +56,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    settled_tables(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled_tables(spark: SparkSession) -> list[str]:
+    """The paths of the scratch tables that this application holds, in the order they were written."""
+    context = spark.sparkContext
+    if not hasattr(context, "_glyphtide_tables"):
+        context._glyphtide_tables = []
+    return context._glyphtide_tables
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the scratch tables written from number ``since`` on, but the last, which no longer needs them."""
+    held = settled_tables(spark)
+    for path in held[since:-1]:
+        _remove(spark, path)
+    del held[since:-1]
+
+
 def two_hashes(text: Column, row_key: Column) -> tuple[Column, Column]:
     """128 bits that identify a text; a null text counts as equal to no other."""
     alone = F.concat(F.lit("\x00null:"), row_key.cast("string"))
@@ -84,15 +101,15 @@ def require(df: DataFrame, *columns: str) -> None:
 
 
 def pick(rows: DataFrame, wanted: DataFrame, name: str, on: tuple[str, ...] = ("h1", "h2")) -> DataFrame:
-    """Rows of ``rows`` whose ``on`` is in ``wanted``, exactly; both have h1 and h2.
+    """One of the rows of each ``on`` that is in ``wanted``, exactly; both have h1 and h2.
 
     A filter of fixed size (a 64-bit word for each of 2**17 hash values, at most
     some 3 MB) drops most others before the exact join, so large texts that
-    nobody asks for aren't shuffled.
+    nobody asks for aren't shuffled; and of rows that repeat ``on`` each task sends one.
     """
     wanted = settle(wanted.select(*on).distinct(), name)
     word, bit = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 17)).cast("int"), F.pmod(F.col("h2"), F.lit(63)).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     bits = F.broadcast(wanted.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")))
     likely = rows.withColumn("_word", word).join(bits, "_word").filter(F.col("_bits").bitwiseAND(mask) != 0)
-    return likely.drop("_word", "_bits").join(wanted.hint("merge"), list(on), "left_semi")
+    return likely.drop("_word", "_bits").dropDuplicates(list(on)).join(wanted.hint("merge"), list(on), "left_semi")

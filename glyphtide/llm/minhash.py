@@ -6,11 +6,10 @@ the probability of their weighted Jaccard similarity. Bands of draws name
 candidates, whose similarity is then computed in full; links join into classes.
 
 A small bucket's texts are compared all with all; those of a crowded one with its
-first. Where some don't link to that, texts of the bucket also meet by the
-rarest shingles of each (prefix filtering): two texts similar enough share one
-among the rarest, of 1/9 of the smaller text's weight and 1/5 of the larger's.
-Crowded shingles go the same way, and what is then still apart is compared in
-blocks. So each two similar texts that share a bucket end in one class.
+first. Where some don't link to that, texts of crowded buckets also meet by the
+rarest shingles of each (prefix filtering): two texts share nothing before their
+first common shingle, so each has to have enough weight from there on for the
+overlap of similar texts. So each two of these that share a bucket end in one class.
 
 Document frequencies come from all distinct texts, in a table of hashed counters
 of fixed size: counters are shared by shingles, so a frequency is never too low.
@@ -39,8 +38,8 @@ NO_ID = -(1 << 62)
 TABLE = 1 << 16
 #: Texts of a bucket that are compared all with all, at most.
 FULL = 16
-#: Texts of a block, about, where a crowded group has to be compared in blocks.
-BLOCK = 64
+#: Texts that a task joins with all others of a shingle, about.
+SLICE = 256
 #: Rows of a table that is sent to every executor, at most (some 10 MB).
 BROADCAST_ROWS = 200_000
 
@@ -239,105 +238,70 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _sized(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with the size m and the first rep of their group: those of small groups, and of crowded ones.
+def _sized(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (bucket, rep) with the first rep of their bucket: those of small buckets, and of crowded ones.
 
-    Groups of one are left out. Crowded groups are few, so their rows aren't dealt by the group.
+    Buckets of one are left out. Crowded buckets are few, so their rows aren't dealt by the bucket.
     """
-    sizes = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("head")).filter("m > 1"), f"{name}-sizes")
+    sizes = settle(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("head")).filter("m > 1"), "near-sizes")
     crowded = _few(sizes.filter(F.col("m") > FULL))
-    small = rows.join(crowded.select(key), key, "left_anti").join(sizes.filter(F.col("m") <= FULL), key)
-    return settle(small, f"{name}-small"), settle(rows.join(crowded, key), f"{name}-crowded")
+    small = rows.join(crowded.select("bucket"), "bucket", "left_anti").join(sizes.filter(F.col("m") <= FULL), "bucket")
+    return settle(small, "near-small"), settle(rows.join(crowded, "bucket"), "near-crowded")
 
 
 def _prefixes(texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """(shingle, rep, open, weight, short): the rarest shingles of each text.
+    """(shingle, rep, left, total): the rarest shingles of each text, by idf, then hash.
 
-    Shingles are ordered by idf, then hash. What follows a text's prefix weighs
-    less than ``similarity`` times the text, and what follows the ``short`` part of
-    it less than the overlap that a text at least as heavy must have with it.
+    ``left`` is what the shingle and those after it weigh, and ends the list where it
+    is less than ``similarity`` times the total.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, longer = Sampler(idf.value), 2 * similarity / (1 + similarity)
+        sampler = Sampler(idf.value)
         for batch in batches:
             for r in range(batch.num_rows):
-                hashes, counts = shingles(batch.column(2)[r].as_py())
+                hashes, counts = shingles(batch.column(1)[r].as_py())
                 w = sampler.weights(hashes, counts).astype(np.float64)
                 order = np.lexsort((hashes, -sampler.idf_of(hashes)))
-                # What each shingle and those after it weigh; a prefix ends where too little is left.
                 left = np.cumsum(w[order][::-1])[::-1]
                 total = left[0] if left.size else 0.0
                 n = int((left >= similarity * total * (1 - 1e-9)).sum())
-                head = order[:n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[head].astype(np.int64)), pa.array(np.full(n, batch.column(0)[r].as_py()), pa.int64()), pa.array([batch.column(1)[r].as_py()] * n, pa.bool_()), pa.array(np.full(n, total)), pa.array(left[:n] >= longer * total * (1 - 1e-9), pa.bool_())],
-                    names=["shingle", "rep", "open", "weight", "short"],
-                )
+                columns = [hashes[order[:n]].astype(np.int64), np.full(n, batch.column(0)[r].as_py(), dtype=np.int64), left[:n], np.full(n, total, dtype=np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "rep", "left", "total"])
+
+    return texts.select("rep", "text").mapInArrow(run, "shingle long, rep long, left double, total double")
 
-    return texts.select("rep", "open", "text").mapInArrow(run, "shingle long, rep long, open boolean, weight double, short boolean")
 
+def _prefix_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the texts of two classes, one of them open, that may be similar by a shared shingle.
 
-def _meeting(left: str, right: str, similarity: float):
-    """Two rows of a shingle that have to be compared: a short prefix, and one of a text at least as heavy."""
-    a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
-    heavier = (a("weight") < b("weight")) | ((a("weight") == b("weight")) & (a("rep") < b("rep")))
-    return a("short") & heavier & (a("open") | b("open")) & (a("weight") >= b("weight") * similarity * (1 - 1e-9))
+    ``prefixes`` are those of ``_prefixes``, with class and open. Texts as similar share
+    at least ``similarity / (1 + similarity)`` of their added weight.
+    """
+    sizes = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.bool_or("open").alias("some"))
+    sizes = sizes.filter("n > 1 and low < high and some").select("shingle", F.ceil(F.col("n") / SLICE).alias("slices"))
+    held = settle(prefixes.join(settle(sizes, "near-shingles"), "shingle"), "near-shared")
+    side = lambda df, x: df.select("shingle", "slice", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "class", "open", "left", "total")])
+    one = side(held.withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices"))), "a")
+    every = side(held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))), "b")
+    need = (F.col("total_a") + F.col("total_b")) * (similarity / (1 + similarity) * (1 - 1e-9))
+    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("class_a") != F.col("class_b")) & (F.col("open_a") | F.col("open_b"))
+    alike = (F.least("left_a", "left_b") >= need) & (F.least("total_a", "total_b") >= F.greatest("total_a", "total_b") * similarity * (1 - 1e-9))
+    return one.join(every, ["shingle", "slice"]).filter(apart & alike).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def _crowded_links(crowded: DataFrame, links: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """Links (a, b) within crowded buckets that those with the bucket's first text don't make up for."""
-    spark = crowded.sparkSession
-    none = spark.createDataFrame([], "a long, b long")
     meets = links.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.lit(True).alias("met"))
     rows = settle(crowded.join(meets, ["head", "rep"], "left").select("bucket", "rep", (F.col("met").isNull() & (F.col("rep") != F.col("head"))).alias("open")), "near-open")
     busy = settle(rows.filter("open").select("bucket").distinct(), "near-busy")
     if not busy.limit(1).count():
-        return none
+        return crowded.sparkSession.createDataFrame([], "a long, b long")
     asked = rows.join(_few(busy), "bucket").groupBy("rep").agg(F.bool_or("open").alias("open"))
-    asked = settle(texts.join(settle(asked, "near-asked").hint("merge"), "rep"), "near-asked-texts")
-    small, large = _sized(settle(_prefixes(asked, idf, similarity), "near-prefixes"), "shingle", "near-prefix")
-    near = small.alias("x").join(small.alias("y"), "shingle").filter(_meeting("x", "y", similarity)).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-    led = large.filter("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
-    found = settle(_verified(near.unionByName(led).select(*_ordered("u", "v")).distinct(), texts, idf, similarity), "near-links")
-    # What crowded shingles still hold apart, by class, is compared block by block.
-    classes = settle(components(links.unionByName(found).distinct()), "near-classes")
-    large = large.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    apart = large.groupBy("shingle").agg(F.count_if("short").alias("shorts"), F.min("class").alias("low"), F.max("class").alias("high"))
-    apart = settle(apart.filter("shorts > 0 and low < high").select("shingle", F.ceil(F.col("shorts") / BLOCK).alias("blocks")), "near-apart")
-    if not apart.limit(1).count():
-        return found
-    held = large.join(_few(apart), "shingle")
-    one = held.filter("short").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("kind", F.lit(0))
-    every = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
-    cells = one.unionByName(every).select("shingle", "block", "kind", "rep", "class", "open", "weight").join(texts.hint("merge"), "rep")
-    cells = cells.select("shingle", "block", "kind", "rep", "class", "open", "weight", "text").repartition("shingle", "block").sortWithinPartitions("shingle", "block", "kind", "rep")
-    more = settle(_block_links(cells, idf, similarity).distinct(), "near-block-links")
-    return found.unionByName(more).distinct()
-
-
-def _block_links(cells: DataFrame, idf, similarity: float) -> DataFrame:
-    """Links between each block's texts (kind 0) and the texts that follow them (kind 1), of other classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, now, block = Sampler(idf.value), None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(7)]
-            a, b = [], []
-            for k, (shingle, number, kind, rep, own, open_, weight) in enumerate(zip(*cols, strict=True)):
-                if (shingle, number) != now:
-                    now, block = (shingle, number), []
-                this = shingles(batch.column(7)[k].as_py())
-                if not kind:
-                    block.append((rep, own, open_, weight, this))
-                    continue
-                for other, theirs, also, lighter, known in block:
-                    if theirs != own and (open_ or also) and (lighter, other) < (weight, rep) and lighter >= weight * similarity * (1 - 1e-9) and sampler.similarity(known, this) >= similarity - 1e-12:
-                        a.append(min(rep, other))
-                        b.append(max(rep, other))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.mapInArrow(run, "a long, b long")
+    asked = settle(asked.join(components(links), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "near-asked")
+    found = settle(_prefixes(texts.join(asked.select("rep").hint("merge"), "rep"), idf, similarity), "near-prefixes")
+    pairs = settle(_prefix_pairs(found.join(asked, "rep"), similarity), "near-pairs")
+    return settle(_verified(pairs, texts, idf, similarity), "near-links")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
@@ -434,7 +398,7 @@ def _judged(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFr
     reps = _numbered(ids.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.any_value("keys").alias("keys")))
 
     members = reps.filter("keys is not null").select("rep", F.posexplode("keys").alias("band", "value"))
-    small, crowded = _sized(members.select(F.xxhash64("band", "value").alias("bucket"), "rep"), "bucket", "near-bucket")
+    small, crowded = _sized(members.select(F.xxhash64("band", "value").alias("bucket"), "rep"))
     texts = _texts_of(named, small.select("rep").unionByName(crowded.select("rep")), reps)
     pairs = small.select("bucket", F.col("rep").alias("a")).join(small.select("bucket", F.col("rep").alias("b")), "bucket").filter("a < b").select("a", "b")
     pairs = pairs.unionByName(crowded.filter("rep <> head").select(*_ordered("rep", "head"))).distinct()
@@ -458,7 +422,7 @@ def _texts_of(named: DataFrame, members: DataFrame, reps: DataFrame) -> DataFram
     wanted = settle(members.select("rep").distinct().join(own, "rep"), "near-own")
     # Of equal texts the one with the smallest id stands for them.
     found = pick(named.filter("text is not null").select("key", "h1", "h2", "text"), wanted, "near-wanted", ("key", "h1", "h2"))
-    found = found.dropDuplicates(["key", "h1", "h2"]).join(wanted.hint("merge"), ["key", "h1", "h2"])
+    found = found.join(wanted.hint("merge"), ["key", "h1", "h2"])
     return settle(found.select("rep", "text"), "near-texts")
 
 

@@ -308,27 +308,22 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, full):
     rows = crowd_rows()
     want = brute_classes(rows)
     monkeypatch.setattr(minhash, "FULL", full)
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "SLICE", 8)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
     assert got == want and len(set(want.values())) > 20
 
 
-def test_prefixes_hold_a_shared_shingle_of_similar_texts(spark):
-    rows = [(i, t) for i, t in crowd_rows() if i % 2] + near_rows()[:60]
+def test_prefixes_meet_for_every_similar_pair(spark):
+    rows = crowd_rows()[::2] + [(i + 1000, t) for i, t in near_rows()[:60]]
     idf = np.linspace(1, 6, minhash.COUNTERS).astype(np.float32)
     sampler = minhash.Sampler(idf)
-    texts = spark.createDataFrame([(i, True, t) for i, t in rows], "rep long, open boolean, text string").distinct()
-    held: dict = {}
-    for r in minhash._prefixes(texts, spark.sparkContext.broadcast(idf), 0.8).collect():
-        held.setdefault(r.rep, {})[r.shingle] = r
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    prefixes = minhash._prefixes(texts, spark.sparkContext.broadcast(idf), 0.8)
+    named = prefixes.withColumn("class", F.col("rep")).withColumn("open", F.lit(True))
+    got = {(r.a, r.b) for r in minhash._prefix_pairs(named, 0.8).collect()}
     sets = {i: minhash.shingles(t) for i, t in rows}
-    near = 0
-    for a, b in combinations(held, 2):
-        if sampler.similarity(sets[a], sets[b]) >= 0.8:
-            near += 1
-            light, heavy = sorted((a, b), key=lambda i: next(iter(held[i].values())).weight)
-            assert any(r.short and g in held[heavy] for g, r in held[light].items())
-    assert near > 20
+    near = {(min(a, b), max(a, b)) for a, b in combinations(sets, 2) if sampler.similarity(sets[a], sets[b]) >= 0.8}
+    assert near <= got and len(near) > 20 and len(got) < 0.3 * len(rows) ** 2 / 2
 
 
 def test_rows_without_or_with_a_shared_id_are_told_by_their_text(spark):
