@@ -2,10 +2,12 @@
 
 The links are hubs (documents that share a hub are neighbours), so a group of
 any size costs one edge a member and never a list of pairs. Each round joins
-the pieces of every hub with the shard that most of its members are in, and
-admits the wanted moves, best gain first, as far as the shards' quotas go. The
-last step evens the counts exactly, with unlinked documents first. All of it is
-DataFrame work; only per-shard totals come to the driver.
+the pieces of every hub with the shard that most of its members are in. Moves
+that are wanted both ways between shards cancel out, so the flow from each shard
+to each other is as large as the quotas allow once all flows are made; the moves
+with the best gain fill it. The last step evens the counts exactly, with unlinked
+documents first. All of it is DataFrame work; only totals per shard, and per pair
+of shards, come to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ ROUNDS = 6
 #: Hash buckets of a shard that are numbered on their own; rows in one, about.
 MAX_BUCKETS, BUCKET_ROWS = 4096, 1024
 #: Hash buckets a gain class is admitted by.
-ADMIT = 64
+ADMIT = 256
+#: Hubs with this share of all rows and more are so few that they are sent to every executor.
+HOT_SHARE = 1e-4
 
 KEY = ["hub1", "hub2", "part", "start"]
 
@@ -29,24 +33,53 @@ def _loads(df: DataFrame, column: str, weight, n_shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(n_shards)]
 
 
+def flows(asked: dict[tuple[int, int], int], loads: list[int], quota: int) -> dict[tuple[int, int], int]:
+    """How many rows may go from one shard to another, of those that ask to.
+
+    Starting from all that is asked, what comes into a shard is scaled down to
+    its room and what leaves it, until every shard keeps to ``quota`` (or to its
+    load, if that is larger). Less coming in elsewhere means less leaving
+    there, so amounts only fall, and opposite flows survive.
+    """
+    flow = {k: float(n) for k, n in asked.items()}
+    for _ in range(500):
+        fine = True
+        for t in range(len(loads)):
+            coming = sum(n for (_, b), n in flow.items() if b == t)
+            allowed = max(0, quota - loads[t]) + sum(n for (a, _), n in flow.items() if a == t)
+            if coming > allowed + 0.5:
+                fine = False
+                for k in flow:
+                    if k[1] == t:
+                        flow[k] *= allowed / coming
+        if fine:
+            break
+    return {k: int(n + 0.5) for k, n in flow.items()}
+
+
 def _propagate(pieces: DataFrame, quota: int, n_shards: int, rounds: int) -> DataFrame:
     """Move pieces (rows with ``KEY``, n) towards their hub's largest shard."""
     now = settle(pieces.withColumn("shard", F.col("start")), "shard-labels")
     for turn in range(rounds):
         loads = _loads(now, "shard", "n", n_shards)
-        room = F.create_map(*[F.lit(x) for s in range(n_shards) for x in (s, max(0, quota - loads[s]))])
         held = now.groupBy("hub1", "hub2", "part", "shard").agg(F.sum("n").alias("held"))
         rank = F.struct("held", F.xxhash64(F.lit(turn), "hub1", "part", "shard"))
         wanted = held.groupBy("hub1", "hub2", "part").agg(F.max_by("shard", rank).alias("want"), F.max("held").alias("most"))
         asked = now.join(wanted, ["hub1", "hub2", "part"])
         asked = asked.withColumn("class", F.when(F.col("shard") != F.col("want"), F.floor(F.log2(F.col("most") + 1)).cast("int")))
         asked = asked.withColumn("cell", F.pmod(F.xxhash64(F.lit(turn), "hub1", "hub2", "part"), F.lit(ADMIT)).cast("int"))
-        # One row a (shard, class, bucket): some 8 * 63 * ADMIT at most for 8 shards, whatever the input.
-        cells = asked.filter("class is not null").groupBy("want", "class", "cell").agg(F.sum("n").alias("ask"))
-        order = Window.partitionBy("want").orderBy(F.desc("class"), "cell").rowsBetween(Window.unboundedPreceding, 0)
-        admitted = cells.withColumn("room", room[F.col("want")]).withColumn("upto", F.sum("ask").over(order)).filter("upto <= room")
-        admitted = admitted.select("want", "class", "cell", F.lit(True).alias("go"))
-        moved = asked.join(F.broadcast(admitted), ["want", "class", "cell"], "left")
+        # At most n_shards squared rows for each of some 40 classes and ADMIT buckets, whatever the input.
+        cells = settle(asked.filter("class is not null").groupBy("shard", "want", "class", "cell").agg(F.sum("n").alias("ask")), "shard-asks")
+        totals = {(r[0], r[1]): int(r[2]) for r in cells.groupBy("shard", "want").agg(F.sum("ask")).collect()}
+        if not totals:
+            break
+        allowed = flows(totals, loads, quota)
+        limit = F.create_map(*[F.lit(x) for (a, b), n in allowed.items() for x in (a * n_shards + b, n)])[F.col("shard") * n_shards + F.col("want")]
+        # A bucket that is larger than the whole flow is passed over and doesn't stop those behind it.
+        order = Window.partitionBy("shard", "want").orderBy(F.desc("class"), "cell").rowsBetween(Window.unboundedPreceding, 0)
+        admitted = cells.withColumn("limit", limit).filter("ask <= limit").withColumn("upto", F.sum("ask").over(order)).filter("upto <= limit")
+        admitted = admitted.select("shard", "want", "class", "cell", F.lit(True).alias("go"))
+        moved = asked.join(F.broadcast(admitted), ["shard", "want", "class", "cell"], "left")
         now = settle(moved.select(*KEY, "n", F.when(F.col("go"), F.col("want")).otherwise(F.col("shard")).alias("shard"), "go"), "shard-labels")
         if not now.filter("go").limit(1).count():
             break
@@ -70,7 +103,12 @@ def balanced_shards(rows: DataFrame, n_shards: int = 8, rounds: int = ROUNDS, se
     most = max(1, total // (4 * n_shards))
     linked = hubs.filter("members > 1").withColumn("parts", F.ceil(F.col("members") / most).cast("long"))
     spread = F.xxhash64(F.lit(seed), "row_key")
-    placed = rows.join(linked, ["hub1", "hub2"], "left").withColumn("start", F.pmod(spread, F.lit(n_shards)).cast("int"))
+    # Rows of a large hub aren't dealt by the hub: such hubs are at most 1 / HOT_SHARE.
+    linked = settle(linked, "shard-hubs")
+    least = max(2, int(total * HOT_SHARE))
+    hot, key = F.broadcast(linked.filter(F.col("members") >= least)), ["hub1", "hub2"]
+    placed = rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(linked.filter(F.col("members") < least), key, "left"))
+    placed = placed.withColumn("start", F.pmod(spread, F.lit(n_shards)).cast("int"))
     placed = settle(placed.withColumn("part", F.pmod(F.shiftright(spread, 8), F.coalesce("parts", F.lit(1)))).drop("parts"), "shard-rows")
 
     pieces = placed.filter("members is not null").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
