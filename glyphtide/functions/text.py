@@ -14,7 +14,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 #: All Unicode blanks, and the four separators that Java's Unicode class leaves out.
 BLANK = r"(?U)[\s\x1c-\x1f]"
@@ -27,14 +27,27 @@ VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv", "webm", "mpg", "mpeg", "wmv")
 THINKING, FENCE = r"(?s)<think>.*?</think>\s*", r"(?s)```(?:[a-zA-Z0-9_-]+)?\s*(.*?)```"
 
 
+def _ascii(text: Column) -> Column:
+    """Whether every character is one byte, so that no call outside generated code is needed."""
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _icu(kind: str, name: str, text: Column) -> Column:
+    return F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(name), F.coalesce(text, F.lit("")), F.lit(True))
+
+
 def nfkc(text: Column) -> Column:
-    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.when(text.isNotNull(), made)
+    return F.when(_ascii(text), text).when(text.isNotNull(), _icu("text.Normalizer", "compose", text))
 
 
 def casefold(text: Column) -> Column:
-    made = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.when(text.isNotNull(), made)
+    return F.when(_ascii(text), F.lower(text)).when(text.isNotNull(), _icu("lang.UCharacter", "foldCase", text))
+
+
+def folded(text: Column) -> Column:
+    """``casefold`` of ``nfkc``."""
+    both = _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", text))
+    return F.when(_ascii(text), F.lower(text)).when(text.isNotNull(), both)
 
 
 def strip(text: Column) -> Column:
@@ -48,7 +61,7 @@ def clean_text(text: Column) -> Column:
 
 def merge_key(text: Column) -> Column:
     """What texts are compared by: NFKC, case-folded, letters and digits alone."""
-    return F.regexp_replace(casefold(nfkc(text)), NOT_ALNUM, "")
+    return F.regexp_replace(folded(text), NOT_ALNUM, "")
 
 
 def clean_model_text(text: Column) -> Column:
@@ -91,7 +104,7 @@ def dedupe_lines(text: Column, least_key: int = 4) -> Column:
     quadratic in the lines, so this is for cues; long texts take ``dedupe_lines_udf``.
     """
     lines = F.transform(text_lines(text), strip)
-    keys = F.transform(text_lines(casefold(nfkc(text))), lambda x: F.regexp_replace(x, NOT_ALNUM, ""))
+    keys = F.transform(text_lines(folded(text)), lambda x: F.regexp_replace(x, NOT_ALNUM, ""))
     rows = F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key")), lambda x: x["line"] != "")
     start = F.array().cast("array<struct<line:string,key:string>>")
 
@@ -162,6 +175,22 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([SequenceMatcher(None, x.as_py(), y.as_py()).ratio() if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.float64())
 
 
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether difflib's ratio of (a, b) is at least ``least``; its two cheap upper bounds come first."""
+    match = SequenceMatcher(None, a, b)
+    return match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least
+
+
+def alike_udf(least: float) -> Callable[[Column, Column], Column]:
+    """``alike`` of two columns, as an Arrow function; null if either is null."""
+
+    @F.arrow_udf(BooleanType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([alike(x.as_py(), y.as_py(), least) if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.bool_())
+
+    return run
+
+
 def _clock(ms: Column, separator: str) -> Column:
     parts = (F.floor(ms / 3_600_000), F.pmod(F.floor(ms / 60_000), F.lit(60)), F.pmod(F.floor(ms / 1000), F.lit(60)), F.pmod(ms, F.lit(1000)))
     return F.format_string(f"%02d:%02d:%02d{separator}%03d", *[p.cast("long") for p in parts])

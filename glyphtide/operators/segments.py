@@ -9,14 +9,12 @@ parallel.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
-from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contained, dedupe_lines, key_of, merge_key, unrepeated
+from ..functions.text import alike, contained, dedupe_lines, key_of, merge_key, unrepeated
 from ..params import MergeParams
 
 ORDER = ("start", "end", "text")
@@ -87,7 +85,7 @@ def _similar(p: MergeParams) -> Callable[[_Cue, _Cue], bool]:
         a, b = len(new.key), len(old.key)
         if min(a, b) < p.min_similar_key_len or not old.near(new, p.contained_gap_sec) or min(a, b) / max(a, b) < p.similar_length_ratio:
             return False
-        return SequenceMatcher(None, new.key, old.key).ratio() >= p.similar_threshold
+        return alike(new.key, old.key, p.similar_threshold)
 
     return meets
 
@@ -119,20 +117,36 @@ def quiet_chunks(cues: DataFrame, gap: float, by: tuple[str, ...] = ("stream",))
     return opened.withColumn("chunk", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def _grouped(cues: DataFrame, run: Callable[[list[tuple[float, float, str]], Any], list[tuple[float, float, str]]], gap: float, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Apply a function to the sorted cues of each (stream, extra, chunk)."""
+def _grouped(cues: DataFrame, run: Callable[[list[tuple[float, float, str]], tuple], list[tuple[float, float, str]]], gap: float, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Apply a function of (sorted cues, key) to each chunk of each (stream, extra), one chunk in memory at a time."""
     by = ("stream", *extra)
     kinds = [f"{c} {cues.schema[c].dataType.simpleString()}" for c in by]
-
-    def apply(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = run([(float(a), float(b), t) for a, b, t in frame[list(ORDER)].itertuples(index=False)], frame)
-        out = pd.DataFrame(rows, columns=list(ORDER))
-        for k, c in enumerate(by):
-            out.insert(k, c, [key[k]] * len(rows))
-        return out
-
-    chunked = quiet_chunks(cues, gap, by)
-    return chunked.groupBy(*by, "chunk").applyInPandas(apply, ", ".join([*kinds, "start double, end double, text string"]))
+    rows = quiet_chunks(cues, gap, by).select(*by, "chunk", F.col("start").cast("double"), F.col("end").cast("double"), "text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out, like = None, [], [], None
+
+        def packed() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * (len(by) + 3)
+            types = [*(like.field(k).type for k in range(len(by))), pa.float64(), pa.float64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*by, *ORDER])
+
+        for batch in batches:
+            like = batch.schema
+            for *key, start, end, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if held:
+                        out.extend((*now[:-1], *r) for r in run(held, tuple(now)))
+                    now, held = key, []
+                held.append((start, end, text))
+            yield packed()
+            out = []
+        if held:
+            out.extend((*now[:-1], *r) for r in run(held, tuple(now)))
+            yield packed()
+
+    dealt = rows.repartition(*by, "chunk").sortWithinPartitions(*by, "chunk", *ORDER)
+    return dealt.mapInArrow(apply, ", ".join([*kinds, "start double, end double, text string"]))
 
 
 def merge_contained(cues: DataFrame, max_gap: float = 1.0, least_key: int = 4) -> DataFrame:
@@ -173,10 +187,6 @@ def sweep(cues: DataFrame, given: dict[str, MergeParams]) -> DataFrame:
     """``postprocess`` under several named parameter sets in one job: adds ``params``."""
     gap = max([0.0, *(max(p.duplicate_gap_sec, p.contained_gap_sec) for p in given.values())])
     names = cues.withColumn("params", F.explode(F.array(*[F.lit(n) for n in given])))
-    merged = _grouped(names.select("stream", "params", *ORDER), lambda rows, frame: settle_cues(rows, given[frame["params"].iloc[0]]), gap, ("params",))
+    merged = _grouped(names.select("stream", "params", *ORDER), lambda rows, key: settle_cues(rows, given[key[1]]), gap, ("params",))
     least = F.create_map(*[F.lit(x) for n, p in given.items() for x in (n, p.min_duration_sec)])[F.col("params")]
     return number(merged.filter((F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") > least)), ("stream", "params"))
-
-
-def iter_rows(frame: pd.DataFrame) -> Iterator[tuple]:
-    return frame[list(ORDER)].itertuples(index=False, name=None)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letter_count, merge_key, similarity
+from ..functions.text import alike_udf, letter_count, merge_key
 
 MAX_GAP_FRAMES, SAME_TEXT, LEAST_FRAMES_CROP, LEAST_FRAMES_FULL = 6, 0.86, 3, 8
 #: Weights of the full-screen tracker's distance (fixed values).
@@ -50,8 +50,9 @@ def crop_tracks(frames: DataFrame, same: Callable[[Column, Column], Column] | No
     run = Window.partitionBy("stream", "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_last", F.last(F.when(F.col("_valid"), F.col("_key")), ignorenulls=True).over(run))
     unequal = F.col("_valid") & (F.col("_key") != F.col("_last"))
-    alike = (same or similarity)(F.when(unequal, F.col("_key")), F.when(unequal, F.col("_last")))
-    rows = rows.withColumn("_alike", F.when(F.col("_key") == F.col("_last"), True).otherwise(F.coalesce(alike >= ratio, F.lit(False))))
+    asked = F.when(unequal, F.col("_key")), F.when(unequal, F.col("_last"))
+    like = same(*asked) >= ratio if same else alike_udf(ratio)(*asked)
+    rows = rows.withColumn("_alike", F.when(F.col("_key") == F.col("_last"), True).otherwise(F.coalesce(like, F.lit(False))))
     rows = rows.withColumn("_new", F.col("_valid") & (F.col("_last").isNull() | F.col("_gap") | ~F.col("_alike")))
     rows = rows.withColumn("_id", F.sum(F.col("_new").cast("int")).over(upto))
     inherits = ~F.col("_reset") & F.col("_last").isNotNull() & ~F.col("_gap")
@@ -71,8 +72,9 @@ def box_distance(box: tuple, key: str, old_box: tuple, old_key: str) -> float:
     apart = 1.0 - iou_of(box, old_box)
     if not key or not old_key:
         return apart
-    ratio = SequenceMatcher(None, key, old_key).ratio()
-    if ratio <= DIFFERENT_TEXT:
+    match = SequenceMatcher(None, key, old_key)
+    # An upper bound of the ratio, in linear time, settles most unlike texts.
+    if match.quick_ratio() <= DIFFERENT_TEXT or (ratio := match.ratio()) <= DIFFERENT_TEXT:
         return 1.0
     mixed = (1 - TEXT_WEIGHT) * apart + TEXT_WEIGHT * (1 - ratio)
     return min(1.0, mixed + UNLIKE_PENALTY) if ratio <= UNLIKE_TEXT else mixed

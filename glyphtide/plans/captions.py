@@ -20,19 +20,21 @@ def base_cues(records: DataFrame) -> DataFrame:
     """
     clean = records.withColumn("spotting_items", tracks.keep_lettered(F.col("spotting_items")))
     kinds = tracks.is_single_box(clean)
-    clean = clean.join(kinds, "stream")
+    # Both trackers, and all that follows a tracker, read tables that are written once.
+    linking.ensure_checkpoints(records)
+    clean = clean.join(kinds, "stream").checkpoint()
     item = F.get("spotting_items", F.lit(0))
     single = clean.filter("single_box").select("stream", F.col("line_no").alias("ord"), F.col("frame_number").alias("frame"), "time", item["text"].alias("text"), item["text_status"].alias("status"))
-    followed = tracks.crop_tracks(single).withColumn("text", valid_text(F.coalesce("text", F.lit("")), F.coalesce("status", F.lit("ok"))))
+    followed = tracks.crop_tracks(single).withColumn("text", valid_text(F.coalesce("text", F.lit("")), F.coalesce("status", F.lit("ok")))).checkpoint()
     crop = tracks.track_cues(followed, tracks.LEAST_FRAMES_CROP).drop("track_id")
 
     boxes = clean.filter("not single_box").select("stream", F.col("frame_number").alias("frame"), "time", F.posexplode_outer("spotting_items").alias("det_index", "i"))
     boxes = boxes.select("stream", "frame", "time", "det_index", quad_box(F.col("i.quad")).alias("box"), valid_text(F.col("i.text"), F.col("i.text_status")).alias("text"))
     keyed = boxes.withColumn("key", merge_key(F.coalesce("text", F.lit(""))))
     ids = tracks.full_tracks(keyed.select("stream", "frame", "det_index", "box", "key"))
-    # Read by the extents, the labels and the texts: the tracker runs once.
-    linking.ensure_checkpoints(records)
     tracked = boxes.join(ids, ["stream", "frame", "det_index"]).checkpoint()
+    if tracked.isEmpty():
+        return crop
     spans = tracks.extents(tracked)
     roots = linking.components(spans, linking.band_pairs(spans))
     linked = linking.relabel(tracked, roots)

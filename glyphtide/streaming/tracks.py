@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.text import key_of
+from ..functions.text import alike, key_of
 from ..operators.tracks import MAX_GAP_FRAMES, SAME_TEXT
 
 STATE = "track int, made int, key string, frame long"
@@ -43,8 +42,8 @@ class CropTracker(StatefulProcessor):
             elif not own:
                 track, last = None, ""
             else:
-                alike = last and (own == last or SequenceMatcher(None, own, last).ratio() >= SAME_TEXT)
-                if track is None or gap or not alike:
+                like = last and (own == last or alike(own, last, SAME_TEXT))
+                if track is None or gap or not like:
                     made += 1
                     track = made
                 shown, last = track, own
