@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphtide.llm import decontaminate, minhash, mixing, sharding, toxicity
-from glyphtide.llm.common import settle, table
+from glyphtide.llm.common import release, settle, settled_tables, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, began = table(spark, sf_dir, "documents"), len(settled_tables(spark))
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # The stage is written, so its own tables, and what it was made from, can go.
+        release(spark, began)
     return STAGES[-1][1](spark, docs, sf_dir)
