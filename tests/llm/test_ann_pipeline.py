@@ -1,6 +1,6 @@
 import numpy as np
 
-from glyphtide.llm import ann
+from glyphtide.llm import ann, common
 
 from .data import DOCS, docs, empty, prose
 
@@ -95,7 +95,10 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert len(kept[0] & toxic) <= 2 and len(kept[0]) >= 205
     assert kept[0] - kept[1] == {52, 53} & kept[0]
     assert kept[1] - kept[2] == {33, 34} & kept[1]
+    before = len(common.settled_tables(spark))
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = common.settled_tables(spark)[before:]
+    assert len([p for p in left if "pipeline-" in p]) == 1 and not any("near-" in p or "leak" in p for p in left)
     assert {r.doc_id for r in final} <= kept[2]
     sizes = [sum(r.shard == s for r in final) for s in range(8)]
     assert max(sizes) - min(sizes) <= 1 and len(final) > 100
