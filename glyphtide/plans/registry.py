@@ -480,9 +480,7 @@ def cue_languages(spark, sf_dir):
     return cues.languages(said, lambda t: F.when(has(t, "der", "und"), "de").when(has(t, "la"), "es").when(has(t, "the", "of"), "en"), most=4)
 
 
-@query(
-    "SELECT vec_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS shown FROM (SELECT vec_id, CAST(floor(greatest(vec_id * 12.3455 - 50.0, 0.0) * 1000 + 0.5) AS BIGINT) AS ms FROM (SELECT vec_id, CAST(vec_id AS DOUBLE) AS vec FROM embeddings) JOIN (SELECT 1) ON true)".replace("vec_id * 12.3455", "vec * CAST(12.3455 AS DOUBLE)")
-)
+@query("SELECT vec_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS shown FROM (SELECT vec_id, CAST(floor(greatest(vec_id * CAST(12.3455 AS DOUBLE) - 50.0, 0.0) * 1000 + 0.5) AS BIGINT) AS ms FROM embeddings)")
 def display_times(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", T.display_timestamp(F.col("vec_id").cast("double") * 12.3455 - 50.0).alias("shown"))
 
@@ -751,16 +749,17 @@ def task_restore(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size > 40 THEN 'crop_outside' WHEN p_partkey % 5 = 0 THEN 'start_after_end' WHEN p_partkey % 7 = 0 THEN 'end_before_start'
-  WHEN p_partkey % 3 = 0 THEN 'mask_incomplete' END AS error FROM part"""
+    """SELECT p_partkey, CASE p_partkey % 14 WHEN 1 THEN 'crop_size' WHEN 2 THEN 'crop_origin' WHEN 3 THEN 'crop_outside' WHEN 4 THEN 'start_negative' WHEN 5 THEN 'start_after_end' WHEN 6 THEN 'end_after_end'
+  WHEN 7 THEN 'end_before_start' WHEN 8 THEN 'mask_incomplete' WHEN 9 THEN 'mask_without_full_screen' WHEN 10 THEN 'mask_size' WHEN 11 THEN 'mask_origin' WHEN 12 THEN 'mask_outside' END AS error FROM part"""
 )
 def request_errors(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    c = F.col
+    p, rule = read(spark, sf_dir, "part"), F.col("p_partkey") % 14
+    at = lambda value, **given: F.coalesce(*[F.when(rule == int(k[1:]), v) for k, v in given.items()], F.lit(value))
+    mask = lambda **given: F.when(rule >= 9, at(8, **given))
     rows = p.select(
-        "p_partkey", (c("p_size") % 2 == 1).alias("full_screen"), F.lit(0).alias("x"), F.lit(0).alias("y"), c("p_size").alias("width"), F.lit(10).alias("height"), F.lit(40).alias("frame_width"), F.lit(40).alias("frame_height"),
-        F.when(c("p_partkey") % 5 == 0, 9.0).otherwise(2.0).alias("start_time"), F.when(c("p_partkey") % 7 == 0, 1.0).alias("end_time"), F.lit(9.0).alias("duration"),
-        F.when(c("p_partkey") % 3 == 0, 1).alias("mask_x"), *[F.lit(None).cast("int").alias(f"mask_{k}") for k in ("y", "width", "height")],
+        "p_partkey", ((rule >= 10) | ((rule == 0) & (F.col("p_size") % 2 == 1))).alias("full_screen"), F.lit(40).alias("frame_width"), F.lit(40).alias("frame_height"), F.lit(9.0).alias("duration"),
+        at(5, _2=-1, _3=35).alias("x"), F.lit(5).alias("y"), at(10, _1=0).alias("width"), F.lit(10).alias("height"), at(2.0, _4=-1.0, _5=9.0).alias("start_time"), F.when(rule.isin(6, 7, 13), at(4.0, _6=9.5, _7=2.0)).alias("end_time"),
+        F.when((rule == 8) | (rule >= 9), at(8, _11=-1, _12=35)).alias("mask_x"), mask().alias("mask_y"), mask(_10=0).alias("mask_width"), mask().alias("mask_height"),
     )
     return tasks.request_errors(rows).select("p_partkey", "error")
 
