@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import free_names, pick, require, settle, two_hashes
 
-#: Shorter lines are compared for equality alone.
-LEAST_CHARS = 20
+#: Shorter lines are compared for equality alone: one edit is a quarter of them and more.
+LEAST_CHARS = 5
+#: Lines with this share of all occurrences and more are so few that they are sent to every executor.
+HOT_SHARE = 1e-4
 #: Rows of a table of keys that is sent to every executor, at most (some 20 MB).
 BROADCAST_KEYS = 500_000
 #: Characters that a task makes variants of, about.
@@ -92,11 +94,11 @@ def near_line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = _lines(docs)
     lines = settle(found.select("doc_id", "line_no", "h1", "h2", _halves(F.col("line")).alias("halves")), "lines")
     where = F.struct("doc_id", "line_no")
-    texts = settle(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.any_value("halves").alias("halves")), "line-texts")
+    texts = settle(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("halves").alias("halves")), "line-texts")
     keyed = texts.filter("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
     shared = settle(keyed.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"), "line-halves")
     some = keyed.join(_few(shared), "half", "left_semi").select("h1", "h2").distinct()
-    chosen = pick(found, some, "line-candidates").dropDuplicates(["h1", "h2"]).join(texts.select("h1", "h2", "first"), ["h1", "h2"])
+    chosen = pick(found, some, "line-candidates").join(texts.select("h1", "h2", "first"), ["h1", "h2"])
     chosen = settle(chosen.select("h1", "h2", "first", "line"), "line-chosen")
     variants, wholes = _variants(chosen)
     variants, wholes = settle(variants, "line-variants"), settle(wholes, "line-wholes")
@@ -130,8 +132,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts have no lines.
     """
     lines, texts, links = near_line_links(docs)
-    firsts = texts.select("h1", "h2", "first").join(links, ["h1", "h2"], "left")
-    rows = lines.select("doc_id", "line_no", "h1", "h2").join(firsts, ["h1", "h2"])
+    key = ["h1", "h2"]
+    firsts = settle(texts.select(*key, "first", "n").join(links, key, "left"), "line-firsts")
+    # Occurrences of a very common line aren't dealt by the line: such lines are at most 1 / HOT_SHARE.
+    common = F.col("n") >= F.lit(max(2, int((texts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE)))
+    hot, rows = F.broadcast(firsts.filter(common)), lines.select("doc_id", "line_no", *key)
+    rows = rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(firsts.filter(~common), key))
     exact = ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))
     gone = rows.withColumn("exact", exact).filter("exact or keeper is not null")
     keeper = F.when(F.col("exact"), F.col("first")).otherwise(F.col("keeper"))

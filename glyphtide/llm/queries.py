@@ -61,7 +61,7 @@ OP3_SQL = rf"""
 WITH parts AS (
   SELECT page_id, position('://' IN url) > 0 AS has, substr(url, position('://' IN url) + 3) AS rest FROM pages
 ), split AS (
-  SELECT page_id, CASE WHEN has THEN lower(regexp_extract(rest, '^[^/?#]*')) ELSE '' END AS host,
+  SELECT page_id, CASE WHEN has THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
          CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
          CASE WHEN has THEN regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) ELSE '' END AS query, coalesce(has, false) AS has FROM parts
 ), canon AS (
@@ -108,7 +108,7 @@ WITH lines AS (
     SELECT line, first, unnest([
       'P' || left(line, n // 2), 'S' || right(line, n - n // 2),
       'P' || left(line, (n - 1) // 2), 'S' || right(line, n - 1 - (n - 1) // 2)]) AS h
-    FROM firsts WHERE n >= 20)
+    FROM firsts WHERE n >= 5)
 ), pairs AS (
   SELECT DISTINCT a.line AS earlier, a.first AS keeper, b.line AS later
   FROM halves a JOIN halves b ON a.h = b.h AND a.first < b.first AND abs(length(a.line) - length(b.line)) <= 1
