@@ -55,9 +55,9 @@ def canonical(url: Column) -> Column:
 
     Null, or no ``://``, gives null: such URLs are never listed.
     """
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r":(80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
-    query = F.regexp_extract(F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1), r"^.*$", 0)
+    host = F.regexp_replace(F.regexp_replace(host_of(url), r":(80|443)\z", ""), r"^www\.", "")
+    path = F.regexp_replace(path_of(url), r"/+\z", "")
+    query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.rlike(p, F.lit(TRACKING))))
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 

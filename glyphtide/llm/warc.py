@@ -23,6 +23,10 @@ from .urls import canonical
 
 #: Payloads below so many bytes are always stored whole.
 REVISIT_BYTES = 100
+#: Plain bytes of an archive, about: an archive is read whole by one task.
+ARCHIVE_BYTES = 64 << 20
+#: Payloads with this share of all pages and more are so few that they are sent to every executor.
+HOT_SHARE = 1e-4
 #: Captures of one merged range, about.
 RANGE_ROWS = 100_000
 #: Time of the first capture, where the table has no column captured_at; a row's is so many seconds later as its page_id says.
@@ -31,22 +35,32 @@ FIRST_CAPTURE = 1_704_067_200
 ENTRY = "url_key string, captured_at string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long, length long"
 
 
-def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def _digests(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_digest, payload_bytes) of each page; a null html is an empty payload."""
+    require(pages, "page_id", "url", "html")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    return settle(pages.select("page_id", F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes")), "warc-digests")
+
+
+def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, digests: DataFrame | None = None) -> DataFrame:
     """Digest each page and decide response or revisit; keeps the html.
 
     Of equal payloads of at least ``revisit_bytes``, the row with the smallest
     page_id is the response and the others revisit it. A null html is an empty
     payload. Rows that repeat a page_id and its payload are responses each.
     """
-    require(pages, "page_id", "url", "html")
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"))
-    digests = rows.select("page_id", F.sha2("html", 256).alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
-    digests = settle(digests, "warc-digests")
+    digests = _digests(pages) if digests is None else digests
+    long = digests.filter(F.col("payload_bytes") >= revisit_bytes)
     # One row for each page that shares a payload with an earlier one.
-    first = digests.filter(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = digests.filter(F.col("payload_bytes") >= revisit_bytes).join(first, "payload_digest").filter("page_id > refers_to").select("page_id", "refers_to", "payload_digest").distinct()
-    keyed = rows.withColumn("payload_digest", F.sha2("html", 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = settle(first, "warc-shared")
+    # Pages of a very common payload aren't dealt by it: such payloads are at most 1 / HOT_SHARE.
+    common = F.col("n") >= max(2, int(digests.count() * HOT_SHARE))
+    hot = F.broadcast(first.filter(common))
+    shared = long.join(hot, "payload_digest").unionByName(long.join(hot.select("payload_digest"), "payload_digest", "left_anti").join(first.filter(~common), "payload_digest"))
+    later = shared.filter("page_id > refers_to").select("page_id", "refers_to", "payload_digest").distinct()
+    html = F.coalesce(F.col("html"), F.lit(""))
+    keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     return keyed.join(later, ["page_id", "payload_digest"], "left")
 
 
@@ -77,9 +91,9 @@ def record_text(url: Column, payload: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), crlf, crlf, block)
 
 
-def write_archives(planned: DataFrame, path: str) -> None:
-    """Write planned rows as gzipped WARC files, one a task."""
-    planned.select(record_text(F.col("url"), F.col("html")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def write_archives(planned: DataFrame, path: str, records: int = 0) -> None:
+    """Write planned rows as gzipped WARC files, of so many records at most (0: one file a task)."""
+    planned.select(record_text(F.col("url"), F.col("html")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def _inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -255,8 +269,12 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
 
     Null html is an empty payload, null url an empty target; an empty table
     gives an empty index; other columns are ignored. Texts go through whole.
+    An archive holds as many records as come to ``ARCHIVE_BYTES`` at their mean
+    size; records are dealt by hash, so archives come near it.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write_archives(plan_records(pages), path)
+    digests = _digests(pages)
+    mean = digests.agg(F.avg("payload_bytes")).first()[0] or 0.0
+    write_archives(plan_records(pages, digests=digests), path, max(1, int(ARCHIVE_BYTES / (mean + 1000))))
     return merge_index(settle(read_runs(spark, path), "warc-runs"))

@@ -106,3 +106,19 @@ def test_bloom_filter_passes_every_listed_url(spark):
     got = urls.judge_urls(rows, listed)
     assert got.filter("listed").count() == 5000 and got.filter("listed and page_id >= 5000").count() == 0
     assert got.filter("verdict = 'block'").count() == 5000
+
+
+def test_a_query_with_a_line_break_is_whole(spark):
+    pages = spark.createDataFrame([(1, "http://bad.net/p?a=1\nb=2"), (2, "http://bad.net/p"), (3, "http://BAD.net/p?b=3&a=1\nb=2")], "page_id long, url string")
+    listed = spark.createDataFrame([("http://bad.net/p",), ("http://bad.net/p?a=1\nb=2&b=3",)], "url string")
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, listed).collect()} == {1: "allow", 2: "block", 3: "block"}
+
+
+def test_archives_are_cut_by_records_and_a_common_payload_is_not_dealt_by_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rows = [(i, f"http://h{i}.net/", "x" * 500 if i % 3 else f"<p>{i}</p>" * 30, "d", 1, "a") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, refers_to long, archive string").repartition(2)
+    got = {r.page_id: r for r in warc.archive_pages(pages, f"{tmp_path}/a").collect()}
+    assert len(list((tmp_path / "a").glob("*.gz"))) > 8 and len({r.archive for r in got.values()}) > 8
+    assert all((r.record_type, r.refers_to) == (("revisit", 1) if i % 3 and i != 1 else ("response", None)) for i, r in got.items())
+    assert all(r.payload_bytes == len(rows[i][2]) for i, r in got.items())
