@@ -32,6 +32,8 @@ BANDS, ROWS = 9, 3
 HASH_BITS = 44
 #: Counters of document frequency.
 COUNTERS = 1 << 18
+#: Characters that are cut into shingles at once; each takes some 50 bytes meanwhile.
+CHUNK_CHARS = 1 << 19
 #: Stands for a null doc_id.
 NO_ID = -(1 << 62)
 #: Values in each table of random variates.
@@ -108,7 +110,7 @@ def shingle_batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return keyed & np.uint64((1 << HASH_BITS) - 1), counts, offsets
 
 
-def chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+def chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
     """Consecutive texts of a column, some ``most`` characters at a time."""
     held, size, start = [], 0, 0
     for k, value in enumerate(column):
@@ -199,6 +201,7 @@ def _count_shingles(texts: DataFrame) -> np.ndarray:
                 owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(offsets))
                 once = np.unique((owner << np.uint64(32)) | (hashes & np.uint64(COUNTERS - 1)))
                 seen += np.bincount((once & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        pa.default_memory_pool().release_unused()
         at = np.flatnonzero(seen)
         for k in range(0, at.size, 10_000):
             part = at[k : k + 10_000]
@@ -223,6 +226,8 @@ def _band_keys(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
                 for t, row in zip(np.flatnonzero(np.diff(offsets)), found, strict=True):
                     keys[start + t] = row
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "keys"])
+        # A worker that is kept for later stages gives back what its batches took.
+        pa.default_memory_pool().release_unused()
 
     kept = [c for c in texts.columns if c != "text"]
     schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
@@ -330,6 +335,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
             for k in range(batch.num_rows):
                 keep.append(sampler.similarity(of(a[k], batch.column(2)[k]), of(b[k], batch.column(3)[k])) >= similarity - 1e-12)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
