@@ -26,6 +26,8 @@ SAMPLE_ROWS, MAX_FEATURES = 20_000, 6_000
 #: A feature needs so many toxic or so many clean documents more than chance explains, in standard errors.
 LEAST_Z, LEAST_DOCS = 4.0, 3
 PREFIXES = (3, 4, 5, 6)
+#: Features that a task counts before it passes them on; the sums are made behind it.
+HELD_FEATURES = 50_000
 THRESHOLD = 0.7
 L2, COUNTERFACTUAL, STEPS = 1e-4, 5.0, 300
 
@@ -147,16 +149,24 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            names = list(seen)
+            for k in range(0, len(names), 10_000):
+                part = names[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([seen[f][j] for f in part], pa.int64()) for j in (0, 1))], names=["feature", "pos", "docs"])
+            seen.clear()
+
         for batch in batches:
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for f in features_of(words_of(t.as_py())):
                     both = seen.setdefault(f, [0, 0])
                     both[0] += y
                     both[1] += 1
-        names = list(seen)
-        for k in range(0, len(names), 10_000):
-            part = names[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([seen[f][j] for f in part], pa.int64()) for j in (0, 1))], names=["feature", "pos", "docs"])
+                if len(seen) > HELD_FEATURES:
+                    yield from counted()
+        yield from counted()
+        pa.default_memory_pool().release_unused()
 
     parts = sample.select("toxic", "text").mapInArrow(run, "feature string, pos long, docs long")
     return parts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("docs").alias("docs"))
