@@ -81,11 +81,40 @@ def strict_records(lines: DataFrame) -> DataFrame:
 
 
 def frame_time(frame: Column, fps: Column) -> Column:
-    return F.bround(frame / fps, 3)
+    """Seconds, to whole milliseconds; halves go to the even one. In doubles, as in SQL: from 2^53 ms on the last digit may be off."""
+    return F.rint(frame / fps * 1000) / 1000
+
+
+def seconds_text(seconds: Column) -> Column:
+    """Seconds of whole milliseconds as a JSON number: the fewest digits that give the double back, an exponent from 1e16 on.
+
+    Spark itself has an exponent from 1e7 on, and at times a digit too many.
+    Below 2^53 milliseconds three decimals are exact; what is above is left to
+    a lambda, so that its many steps stay out of the generated code.
+    """
+    size = F.abs(seconds)
+    decimals = F.regexp_replace(seconds.cast("decimal(16,3)").cast("string"), "0{1,2}$", "")
+    return F.when(size < 1e7, seconds.cast("string")).when(size < 9e12, decimals).otherwise(F.get(F.transform(F.array(seconds), _far_seconds_text), F.lit(0)))
+
+
+def _far_seconds_text(seconds: Column) -> Column:
+    """The same from 9e12 on, by trying from few digits to many; from 2^63 on it is Spark's text."""
+    size = F.abs(seconds)
+    number = size.try_cast("bigint")
+    exact = number.cast("decimal(20,0)") + (size - number).cast("decimal(11,10)")
+    first = lambda tries: F.coalesce(*[F.when(d.cast("double") == size, d.cast("string")) for d in tries])
+    plain = first(F.bround(exact, s) for s in range(4))
+    digits = first(F.bround(number, -j) for j in range(4, -1, -1))
+    mantissa = F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"^(.)(.+)$", "$1.$2")
+    text = F.when(size < 1e16, F.regexp_replace(plain, r"^(\d+)$", "$1.0")).otherwise(F.concat(mantissa, F.lit("e+"), (F.length(digits) - 1).cast("string")))
+    return F.coalesce(F.concat(F.when(seconds < 0, "-").otherwise(""), text), seconds.cast("string"))
 
 
 def detector_line(frame: Column, fps: Column, blocks: Column) -> Column:
-    return F.to_json(F.struct(F.lit("detector").alias("record_type"), frame.alias("frame_number"), frame_time(frame, fps).alias("time"), blocks.alias("detector_blocks")))
+    """A detector record as JSON; keys that are null are left out."""
+    values = {"frame_number": frame.cast("string"), "time": seconds_text(frame_time(frame, fps)), "detector_blocks": F.to_json(blocks)}
+    members = [F.concat(F.lit(f'"{k}":'), v) for k, v in values.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", F.lit('"record_type":"detector"'), *members), F.lit("}"))
 
 
 def recognizer_line(row: Sequence[str] = ("frame_number", "time", "spotting_items", "raw_llm_output", "ocr_mode", "ocr_area", "mask_area"), record_type: str | None = "ocr") -> Column:

@@ -2,12 +2,14 @@ import json
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from glyphtide.functions.text import key_of
 from glyphtide.operators import control, eventlog, layout, linking, tasks, tracks, vote
 from glyphtide.operators.recognition import recognize
+from glyphtide.plans import registry
 from glyphtide.plans.captions import captions
 from glyphtide.sources import logs
 
@@ -128,6 +130,23 @@ def test_tolerant_log(spark, tmp_path):
         eventlog.strict_records(lines).collect()
 
 
+def test_detector_lines_of_far_frames(spark, tmp_path):
+    # Seconds from 1e7, 9e12, 1e16 and 1e17 on, on both sides of each; texts that are empty or have no length.
+    ids = [0, 1, -3, 79_999_999, 80_000_000, 80_000_001, -80_000_004, 60 * 10**9 + 5, 69_999_999_999_997]
+    far = [76_263_673_800_609, 9_007_199_254_740_993, 56_865_130_178_914_472, 8 * 10**16 - 8, 8 * 10**16, 984_967_795_971_427_005, 2**63 - 1, 1 - 2**63]
+    rows = [(i, 7) for i in ids + far] + [(10**9, 0), (10**9 + 1, 1), (10**9 + 2, None), (None, 7)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.log_serialize(spark, str(tmp_path)).select("doc_id", "line").collect()]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(got, key=str) == sorted(con.sql(registry.SQL["log_serialize"]).fetchall(), key=str)
+    lines = dict(got)
+    for i in ids:
+        block = {"normalized_bbox": [0, 0, 1000, 1000], "pixel_bbox": [0, 0, 6, 9]}
+        want = {"record_type": "detector", "frame_number": i, "time": round(i / 8.0, 3), "detector_blocks": [block]}
+        assert lines[i] == json.dumps(want, separators=(",", ":"))
+
+
 def test_context(spark):
     rows = [(None, None, None, True), ("full_screen", [0, 0, 9, 9], None, True), ("full_screen", [0, 0, 9, 8], None, False), ("full_screen", [0, 0, 9, 9], [1, 1, 2, 2], False), ("crop", [0, 0, 9, 9], None, False)]
     df = spark.createDataFrame(rows, "mode string, area array<int>, mask array<int>, want boolean")
